@@ -175,16 +175,19 @@ def store_comparison(dim_store: DataFrame, fact: DataFrame) -> DataFrame:
 def store_comparison_window(
     dim_store: DataFrame,
     fact: DataFrame,
-    store_ids: list[int] | None,
+    store_ids: list[int] | DataFrame | None,
     date_from: date,
     date_to: date,
     legacy: bool = False,
 ) -> DataFrame:
     """Comparison of chosen stores (all when None) in a date window, with promotion uplift.
 
+    The stores are a list of at most ten ids or a frame of ids, such as a top-k report.
     ``legacy`` keeps the original behaviour in which the window does not restrict the facts.
     """
-    if store_ids is not None:
+    if isinstance(store_ids, DataFrame):
+        dim_store = dim_store.join(store_ids.select("store_id").distinct(), "store_id", "left_semi")
+    elif store_ids is not None:
         if not 1 <= len(store_ids) <= MAX_COMPARED_STORES:
             raise ValueError(f"between 1 and {MAX_COMPARED_STORES} stores can be compared")
         dim_store = dim_store.where(F.col("store_id").isin(store_ids))

@@ -1,5 +1,6 @@
 """All registered queries."""
 
 from shelfscope.plans.kpi_queries import QUERIES as KPI
+from shelfscope.plans.quality_queries import QUERIES as QUALITY
 
-CATALOG = [*KPI]
+CATALOG = [*KPI, *QUALITY]

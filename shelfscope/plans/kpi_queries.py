@@ -106,8 +106,9 @@ def _broken_keys(spark, sf):
 
 
 def _date_gaps(spark, sf):
-    days = tables.table(spark, sf, "lineitem").where("l_quantity > 45 AND l_linenumber = 1 AND l_tax = 0.0")
-    return presented(warehouse.date_gaps(days.select(F.to_date("l_shipdate").alias("full_date"))))
+    """Sundays closed: every closed Sunday is a gap in the calendar."""
+    fact = _fact(spark, sf).where(F.weekday("full_date") != 6)
+    return presented(warehouse.date_gaps(fact))
 
 
 def _missing(spark, sf):
@@ -241,9 +242,9 @@ QUERIES = [
           oracle("fact dim_store", WINDOW_SQL.format(
               measures=STORE_MEASURES_SQL.format(p=""), facts=f"(SELECT * FROM fact WHERE full_date {BETWEEN})"))),
     Query("store_comparison_ids", "A-9 P-11 X-1", lambda s, d: presented(
-        kpi.store_comparison_window(_stores(s, d), _fact(s, d), [1, 3, 5, 7], FROM, TO, legacy=True)),
-          oracle("fact dim_store", WINDOW_SQL.format(
-              measures=STORE_MEASURES_SQL.format(p=""), facts="fact") + " WHERE store_id IN (1, 3, 5, 7)")),
+        kpi.store_comparison_window(_stores(s, d), _fact(s, d), kpi.ranked_totals(_fact(s, d), 10), FROM, TO, legacy=True)),
+          oracle("fact dim_store", WINDOW_SQL.format(measures=STORE_MEASURES_SQL.format(p=""), facts="fact")
+                 + " WHERE store_id IN (SELECT store_id FROM fact GROUP BY 1 ORDER BY SUM(sales) DESC, 1 LIMIT 10)")),
     Query("kpi_summary", "A-7 P-8", lambda s, d: presented(kpi.kpi_summary(_fact(s, d), FROM, TO)), oracle("fact", f"""
         WITH filtered AS (SELECT full_date, store_id, SUM(sales) AS s, SUM(customers) AS c,
                                  SUM(CASE WHEN promo = 1 THEN 1 ELSE 0 END) AS p,
@@ -361,7 +362,7 @@ QUERIES = [
         GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1 ORDER BY cnt DESC, 1, 2 LIMIT 10"""),
     Query("dq_date_gaps", "Q-19 W-2", _date_gaps, f"""
         WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS full_date FROM lineitem
-                   WHERE l_quantity > 45 AND l_linenumber = 1 AND l_tax = 0.0),
+                   WHERE isodow(l_shipdate) <> 7),
         g AS (SELECT full_date, LEAD(full_date) OVER (ORDER BY full_date) AS nx FROM d)
         SELECT {DAY.format('MIN(full_date)')} AS min_date, {DAY.format('MAX(full_date)')} AS max_date,
                COUNT(*) FILTER (nx IS NOT NULL AND nx <> full_date + INTERVAL 1 DAY) AS gap_days FROM g"""),

@@ -78,8 +78,51 @@ TABLES = {
                  WHEN 7 THEN 'pipeline data status '
                  ELSE '' END || COALESCE(text, '') AS message
         FROM conversations""",
+    "raw_sales": """
+        SELECT CASE WHEN l_quantity = 13 AND l_linenumber = 7 THEN 'A' ELSE CAST(l_suppkey AS VARCHAR) END AS store,
+               CASE WHEN l_quantity = 11 THEN 'x' WHEN l_quantity = 7 AND l_linenumber = 6 THEN '9'
+                    ELSE CAST(isodow(l_shipdate) AS VARCHAR) END AS day_of_week,
+               CASE WHEN l_quantity = 17 AND l_linenumber = 3 THEN 'not-a-date'
+                    WHEN l_linenumber % 4 = 0 THEN strftime(l_shipdate, '%Y-%m-%d')
+                    WHEN l_linenumber % 4 = 1 THEN strftime(l_shipdate, '%m/%d/%Y')
+                    WHEN l_linenumber % 4 = 2 THEN strftime(l_shipdate, '%Y/%m/%d')
+                    ELSE strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d 00:00:00') END AS full_date,
+               CASE WHEN l_quantity = 23 AND l_linenumber = 2 THEN NULL
+                    WHEN l_quantity = 19 AND l_linenumber = 1 THEN 'abc'
+                    WHEN l_quantity = 29 AND l_linenumber = 5 THEN '-50'
+                    ELSE ' ' || l_extendedprice || ' ' END AS sales,
+               CASE WHEN l_discount >= 0.015 THEN CAST(l_quantity AS VARCHAR) END AS customers,
+               CASE WHEN l_linenumber = 7 THEN 'yes' WHEN l_quantity > 2 THEN '1' ELSE '0' END AS open,
+               CASE WHEN l_discount >= 0.05 THEN '1.0' ELSE '0' END AS promo,
+               ' ' || l_returnflag || ' ' AS state_holiday,
+               CASE WHEN l_linestatus = 'F' THEN '1' ELSE '0' END AS school_holiday,
+               CAST(l_partkey AS VARCHAR) AS custom_metric
+        FROM lineitem""",
+    "unified": """
+        SELECT TRY_CAST(store AS BIGINT) AS store_id, TRY_CAST(day_of_week AS BIGINT) AS day_of_week,
+               CAST(COALESCE(try_strptime(full_date, '%Y-%m-%d'), try_strptime(full_date, '%Y-%m-%d %H:%M:%S'),
+                             try_strptime(full_date, '%Y/%m/%d'), try_strptime(full_date, '%m/%d/%Y')) AS DATE)
+                 AS full_date,
+               TRY_CAST(trim(sales) AS DOUBLE) AS sales, TRY_CAST(customers AS DOUBLE) AS customers,
+               CAST(TRY_CAST(open AS DOUBLE) AS BIGINT) AS open, CAST(TRY_CAST(promo AS DOUBLE) AS BIGINT) AS promo,
+               trim(state_holiday) AS state_holiday, TRY_CAST(school_holiday AS BIGINT) AS school_holiday,
+               custom_metric, store AS raw_store, day_of_week AS raw_day, full_date AS raw_date, sales AS raw_sales,
+               customers AS raw_customers, open AS raw_open
+        FROM raw_sales""",
+    "raw_store": """
+        SELECT s_suppkey AS store_id, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS store_type,
+               CASE WHEN s_suppkey % 9 <> 0 THEN substr('abc', s_suppkey % 3 + 1, 1) END AS assortment,
+               CASE WHEN s_suppkey % 11 <> 3 AND s_suppkey % 5 <> 0
+                    THEN CAST(abs(s_acctbal) AS DECIMAL(12,2)) END AS competition_distance,
+               CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 12 + 1 END AS open_month,
+               CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 20 + 1995 END AS open_year,
+               CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey % 2 END AS promo2,
+               CASE WHEN s_suppkey % 6 = 1 THEN s_suppkey % 53 END AS promo2_week,
+               CASE WHEN s_suppkey % 6 = 1 THEN s_suppkey % 20 + 1995 END AS promo2_year,
+               CASE WHEN s_suppkey % 6 = 1 THEN 'Jan,Apr,Jul,Oct' END AS promo_interval
+        FROM supplier""",
 }
-NEEDS = {"fact": ("lines",), "rule_log": ("run_log",)}
+NEEDS = {"unified": ("raw_sales",), "fact": ("lines",), "rule_log": ("run_log",)}
 
 
 def oracle(tables: str, body: str) -> str:

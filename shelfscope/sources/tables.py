@@ -188,3 +188,58 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.concat(lead, F.coalesce("text", F.lit(""))).alias("message")
     )
+
+
+def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales export as text with planted faults: bad ids, days, dates and numbers, nulls, an unknown column."""
+    line, quantity = F.col("l_linenumber"), F.col("l_quantity")
+    day = F.to_date("l_shipdate")
+    date_text = (
+        F.when((quantity == 17) & (line == 3), "not-a-date")
+        .when(line % 4 == 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(line % 4 == 1, F.date_format(day, "MM/dd/yyyy"))
+        .when(line % 4 == 2, F.date_format(day, "yyyy/MM/dd"))
+        .otherwise(F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
+    )
+    sales = (
+        F.when((quantity == 23) & (line == 2), F.lit(None))
+        .when((quantity == 19) & (line == 1), "abc")
+        .when((quantity == 29) & (line == 5), "-50")
+        .otherwise(F.concat(F.lit(" "), F.col("l_extendedprice").cast("string"), F.lit(" ")))
+    )
+    weekday = (
+        F.when(quantity == 11, "x")
+        .when((quantity == 7) & (line == 6), "9")
+        .otherwise((F.weekday(day) + 1).cast("string"))
+    )
+    return table(spark, sf_dir, "lineitem").select(
+        F.when((quantity == 13) & (line == 7), "A").otherwise(F.col("l_suppkey").cast("string")).alias("Store"),
+        weekday.alias("DayOfWeek"),
+        date_text.alias("Date"),
+        sales.alias("Sales"),
+        F.when(F.col("l_discount") >= 0.015, quantity.cast("string")).alias("Customers"),
+        F.when(line == 7, "yes").when(quantity > 2, "1").otherwise("0").alias("Open"),
+        F.when(F.col("l_discount") >= 0.05, "1.0").otherwise("0").alias("Promo"),
+        F.concat(F.lit(" "), F.col("l_returnflag"), F.lit(" ")).alias("StateHoliday"),
+        F.when(F.col("l_linestatus") == "F", "1").otherwise("0").alias("SchoolHoliday"),
+        F.col("l_partkey").cast("string").alias("CustomMetric"),
+    )
+
+
+def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store export as text with gaps in every optional column."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        key.cast("string").alias("Store"),
+        F.when(key % 7 != 0, F.col("s_name")).alias("StoreType"),
+        F.when(key % 9 != 0, F.substring(F.lit("abc"), (key % 3 + 1).cast("int"), F.lit(1))).alias("Assortment"),
+        F.when(key % 11 == 3, "n/a")
+        .when(key % 5 != 0, F.abs("s_acctbal").cast("decimal(12,2)").cast("string"))
+        .alias("CompetitionDistance"),
+        F.when(key % 4 != 0, (key % 12 + 1).cast("double").cast("string")).alias("CompetitionOpenSinceMonth"),
+        F.when(key % 4 != 0, (key % 20 + 1995).cast("string")).alias("CompetitionOpenSinceYear"),
+        F.when(key % 6 != 0, (key % 2).cast("string")).alias("Promo2"),
+        F.when(key % 6 == 1, (key % 53).cast("string")).alias("Promo2SinceWeek"),
+        F.when(key % 6 == 1, (key % 20 + 1995).cast("string")).alias("Promo2SinceYear"),
+        F.when(key % 6 == 1, "Jan,Apr,Jul,Oct").alias("PromoInterval"),
+    )
