@@ -1,6 +1,7 @@
 """All registered queries."""
 
+from shelfscope.plans.feature_queries import QUERIES as FEATURES
 from shelfscope.plans.kpi_queries import QUERIES as KPI
 from shelfscope.plans.quality_queries import QUERIES as QUALITY
 
-CATALOG = [*KPI, *QUALITY]
+CATALOG = [*KPI, *QUALITY, *FEATURES]
