@@ -87,10 +87,9 @@ def is_retryable(http_status: Column) -> Column:
 
 
 def elapsed_ms(start: Column, end: Column) -> Column:
-    """Whole milliseconds from start to end, never negative."""
-    return F.greatest(
-        F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("long"), F.lit(0).cast("long")
-    )
+    """Whole milliseconds from start to end, never negative; null while either is missing."""
+    passed = F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("long")
+    return F.when(passed < 0, F.lit(0).cast("long")).otherwise(passed)
 
 
 OPERATORS = (">", ">=", "<", "<=", "==", "!=")

@@ -121,6 +121,32 @@ TABLES = {
                CASE WHEN s_suppkey % 6 = 1 THEN s_suppkey % 20 + 1995 END AS promo2_year,
                CASE WHEN s_suppkey % 6 = 1 THEN 'Jan,Apr,Jul,Oct' END AS promo_interval
         FROM supplier""",
+    "silences": """
+        SELECT o_orderkey AS silence_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'policy_' || o_orderkey % 10 END AS policy_id,
+               CASE o_orderkey % 4 WHEN 1 THEN 'train' WHEN 2 THEN 'store' END AS source_name,
+               CASE o_orderkey % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' END AS severity,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'rule_' || o_orderkey % 3 END AS rule_id,
+               o_orderdate AS created_at, o_orderdate AS starts_at,
+               o_orderdate + to_days(CAST(o_custkey % 30 + 1 AS INTEGER)) AS ends_at,
+               CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 5 DAY END AS expired_at
+        FROM orders""",
+    "alert_items": """
+        SELECT event_id AS alert_id, 'policy_' || k % 10 AS policy_id,
+               CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'store' END AS source_name,
+               CASE k % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+               CASE WHEN k % 4 <> 0 THEN 'rule_' || k % 3 END AS rule_id,
+               CASE WHEN value > 40 THEN 'FIRING' ELSE 'PENDING' END AS status, ts AS last_seen_at, user_id
+        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
+    "results": """
+        SELECT event_id AS id, k % 5 = 0 AS success,
+               CASE k % 5 WHEN 0 THEN 204 WHEN 1 THEN 503 WHEN 2 THEN 429 WHEN 3 THEN 400 END AS http_status,
+               CASE k % 5 WHEN 0 THEN NULL WHEN 4 THEN 'NETWORK_ERROR' ELSE 'HTTP_ERROR' END AS error_code,
+               CASE WHEN k % 5 <> 0 THEN 'call failed  code ' || k % 5 END AS error
+        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE k % 10 <> 9""",
+    "snapshots": """
+        SELECT event_type, seen_at, CAST(SUM(n) OVER (PARTITION BY event_type, CAST(seen_at AS DATE) ORDER BY seen_at) AS BIGINT) AS value
+        FROM (SELECT event_type, make_timestamp((epoch_us(ts) // 300000000) * 300000000) AS seen_at, COUNT(*) AS n
+              FROM events GROUP BY 1, 2)""",
 }
 NEEDS = {"unified": ("raw_sales",), "fact": ("lines",), "rule_log": ("run_log",)}
 

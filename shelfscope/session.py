@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Instants everywhere: UTC, and Parquet timestamps without zone read as UTC instants.
+QUERY_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+}
 
 
 def build_session(app_name: str = "shelfscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -15,13 +20,12 @@ def build_session(app_name: str = "shelfscope", master: str | None = None, **con
     """
     builder = (
         SparkSession.builder.appName(app_name)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
+    for key, value in {**QUERY_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
