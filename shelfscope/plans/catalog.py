@@ -1,8 +1,9 @@
 """All registered queries."""
 
+from shelfscope.plans.alert_queries import QUERIES as ALERTS
 from shelfscope.plans.feature_queries import QUERIES as FEATURES
 from shelfscope.plans.kpi_queries import QUERIES as KPI
 from shelfscope.plans.log_queries import QUERIES as LOGS
 from shelfscope.plans.quality_queries import QUERIES as QUALITY
 
-CATALOG = [*KPI, *QUALITY, *FEATURES, *LOGS]
+CATALOG = [*KPI, *QUALITY, *FEATURES, *LOGS, *ALERTS]
