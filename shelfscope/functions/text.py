@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Patterns, defaults and ordered keyword lists the results depend on.
 STORE_PATTERN = r"(?i)(?:store(?:_id)?\s*#?\s*|store_id\s*=?\s*|(?:ل)?(?:ل)?(?:ال)?متجر\s*#?\s*|(?:ال)?متجر\s*#?\s*)(\d+)"
-HORIZON_PATTERN = r"(?i)(?<!\w)(\d{1,3})\s*(?:day|days|d|يوم|ايام)(?!\w)"
-DATE_PATTERN = r"(?<!\w)(\d{4}-\d{2}-\d{2})(?!\w)"
+HORIZON_PATTERN = r"(?iU)\b(\d{1,3})\s*(?:day|days|d|يوم|ايام)\b"
+DATE_PATTERN = r"(?U)\b(\d{4}-\d{2}-\d{2})\b"
 DEFAULT_HORIZON = 30
 MAX_HORIZON = 180
 DEFAULT_WINDOW_DAYS = 30
