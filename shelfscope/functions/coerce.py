@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 TRUE_WORDS = ("1", "true", "t", "yes", "y")
 FALSE_WORDS = ("0", "false", "f", "no", "n")
 
-# Date formats tried in this order; the first that parses wins.
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd-MMM-yyyy",
-    "yyyyMMdd",
-)
+# Date notations read by contracts, told apart by their shape.
+ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
+ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?$"
+SLASH_YEAR_FIRST = r"^\d{4}/\d{2}/\d{2}$"
+SLASH_MONTH_FIRST = r"^\d{2}/\d{2}/\d{4}$"
+COMPACT_DAY = r"^\d{8}$"
+NAMED_MONTH = r"^\d{2}-[A-Za-z]{3}-\d{4}$"
 ISO_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
@@ -54,8 +51,24 @@ def to_int(value: Column) -> Column:
 
 
 def to_timestamp_mixed(value: Column) -> Column:
+    """Timestamp from any of the declared notations.
+
+    The notation is recognised by shape and rewritten to ISO text, which a cast reads without formatters;
+    trying one format after the other would raise and catch an exception per miss.
+    """
     text = _text(value)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS])
+
+    def iso(year: int, month: int, day: int) -> Column:
+        return F.concat_ws("-", F.substring(text, year, 4), F.substring(text, month, 2), F.substring(text, day, 2))
+
+    rewritten = (
+        F.when(F.rlike(text, F.lit(ISO_DAY)) | F.rlike(text, F.lit(ISO_MOMENT)), text)
+        .when(F.rlike(text, F.lit(SLASH_YEAR_FIRST)), iso(1, 6, 9))
+        .when(F.rlike(text, F.lit(SLASH_MONTH_FIRST)), iso(7, 1, 4))
+        .when(F.rlike(text, F.lit(COMPACT_DAY)), iso(1, 5, 7))
+    )
+    named = F.when(F.rlike(text, F.lit(NAMED_MONTH)), F.try_to_timestamp(F.initcap(text), F.lit("dd-MMM-yyyy")))
+    return F.coalesce(rewritten.try_cast("timestamp"), named)
 
 
 def to_day(value: Column) -> Column:

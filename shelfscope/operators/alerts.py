@@ -48,13 +48,13 @@ def _per_tick(rows: DataFrame, keys: list[str], counts: dict[str, Column]) -> Da
     )
 
 
-def _trailing(per_tick: DataFrame, policies: DataFrame, span: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
-    """Counts of the trailing window of every policy at every tick.
+def _changes(per_tick: DataFrame, policies: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """Rise and fall of every policy's trailing-window counts.
 
     A count enters at its tick and leaves once the window has passed it: two signed rows instead of a join
     of every tick with all runs of its window. Both window ends belong to the window, so a run exactly on a
-    tick stays one tick longer. Running sums per policy do the rest. A policy for any source meets the
-    counts under the source "*", so matching is by equality; the policies are one configuration file.
+    tick stays one tick longer. A policy for any source meets the counts under the source "*", so matching is
+    by equality; the policies are one configuration file.
     """
     any_source = F.lit("*")
     matched = per_tick.withColumn("_source", F.explode(F.array("source_name", any_source))).join(
@@ -73,17 +73,40 @@ def _trailing(per_tick: DataFrame, policies: DataFrame, span: DataFrame, keys: l
             )
         ),
     )
-    changes = signed.groupBy("policy_id", *keys, F.col("at").alias("tick")).agg(
+    return signed.groupBy("policy_id", *keys, F.col("at").alias("tick")).agg(
         *[F.sum(F.col(c) * F.col("sign")).alias(c) for c in counts]
     )
-    # Every tick appears, with or without a change: the span is one row, spread out per policy and key.
-    held = changes.select("policy_id", *keys).distinct() if keys else policies.select("policy_id")
-    base = held.crossJoin(F.broadcast(span)).select(
-        "policy_id", *keys, F.explode(F.sequence("first", "last")).alias("tick")
+
+
+def _trailing_runs(per_tick: DataFrame, policies: DataFrame, span: DataFrame, counts: list[str]) -> DataFrame:
+    """Trailing run counts of every policy at every tick of the span, ticks without a change included."""
+    base = policies.select("policy_id").crossJoin(F.broadcast(span)).select(
+        "policy_id", F.explode(F.sequence("first", "last")).alias("tick")
+    )
+    series = W.partitionBy("policy_id").orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
+    dense = base.join(_changes(per_tick, policies, [], counts), ["policy_id", "tick"], "left").fillna(0, subset=counts)
+    return dense.select("policy_id", "tick", *[F.sum(c).over(series).alias(c) for c in counts])
+
+
+def _trailing_rules(per_tick: DataFrame, policies: DataFrame, span: DataFrame) -> DataFrame:
+    """Largest trailing fail count over the rules a policy looks at, at every tick where there is one.
+
+    Between two changes of a rule its count stands still, so each running sum is spread over the ticks up to
+    the next change.
+    """
+    changes = _changes(per_tick, policies, ["rule_id", "policy_rule"], ["rule_fails"]).where(
+        F.col("policy_rule").isNull() | (F.col("policy_rule") == F.col("rule_id"))
+    )
+    series = W.partitionBy("policy_id", "rule_id").orderBy("tick")
+    level = F.sum("rule_fails").over(series.rowsBetween(W.unboundedPreceding, 0))
+    spread = changes.select(
+        "policy_id", level.alias("rule_fails"), "tick", (F.lead("tick").over(series) - 1).alias("until")
+    ).crossJoin(F.broadcast(span))
+    end = F.least(F.coalesce("until", "last"), F.col("last"))
+    ticks = spread.where(F.col("tick") <= F.col("last")).select(
+        "policy_id", "rule_fails", F.explode(F.sequence("tick", end)).alias("tick")
     )
-    series = W.partitionBy("policy_id", *keys).orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
-    dense = base.join(changes, ["policy_id", *keys, "tick"], "left").fillna(0, subset=counts)
-    return dense.select("policy_id", *keys, "tick", *[F.sum(c).over(series).alias(c) for c in counts])
+    return ticks.groupBy("policy_id", "tick").agg(F.max("rule_fails").alias("rule_fails"))
 
 
 def alert_metrics(runs: DataFrame, rule_events: DataFrame, policies: list[Policy]) -> DataFrame:
@@ -102,15 +125,12 @@ def alert_metrics(runs: DataFrame, rule_events: DataFrame, policies: list[Policy
             "unified_count": F.count_if("used_unified"),
         },
     )
-    on_runs = _trailing(run_ticks, rows, span, [], list(RUN_COUNTS))
+    on_runs = _trailing_runs(run_ticks, rows, span, list(RUN_COUNTS))
 
     by_rule = rows.where(F.col("metric_type").isin("top_rule_fail_count", "semantic_rule_fail_count"))
     fails = rule_events.where("status = 'FAIL'")
     rule_ticks = _per_tick(fails, ["rule_id"], {"rule_fails": F.count("*")})
-    per_rule = _trailing(rule_ticks, by_rule, span, ["rule_id"], ["rule_fails"])
-    named = per_rule.join(F.broadcast(rows.select("policy_id", "policy_rule")), "policy_id")
-    counted = F.col("policy_rule").isNull() | (F.col("policy_rule") == F.col("rule_id"))
-    on_rules = named.where(counted).groupBy("policy_id", "tick").agg(F.max("rule_fails").alias("rule_fails"))
+    on_rules = _trailing_rules(rule_ticks, by_rule, span)
 
     metric = F.col("metric_type")
     total = F.col("total_runs")

@@ -121,7 +121,8 @@ def semantic_overview(runs: DataFrame) -> DataFrame:
 
 def rule_events(runs: DataFrame) -> DataFrame:
     """One row per rule of every run that has a report, ids and states normalised."""
-    rules = with_semantic_report(runs).where("semantic IS NOT NULL").select(
+    # A missing report explodes to nothing; a filter on the parsed report would parse it a second time.
+    rules = with_semantic_report(runs).select(
         "run_id", "source_name", "created_at", F.explode("semantic.rules").alias("rule")
     )
     return rules.select(
