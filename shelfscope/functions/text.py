@@ -58,10 +58,7 @@ def safe_error_text(value: Column) -> Column:
 
 
 def _has_any(text: Column, terms: tuple[str, ...]) -> Column:
-    found = F.contains(text, F.lit(terms[0]))
-    for term in terms[1:]:
-        found = found | F.contains(text, F.lit(term))
-    return found
+    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda term: F.contains(text, term))
 
 
 def store_slot(message: Column) -> Column:
@@ -89,20 +86,25 @@ def date_range_slots(message: Column, latest: Column) -> tuple[Column, Column]:
 
 def keyword_intent(message: Column) -> Column:
     """First matching keyword group wins; the order of the groups is part of the result."""
-    text = F.lower(message)
-    store = F.contains(text, F.lit("store"))
-    return (
-        F.when(_has_any(text, GREETING_TERMS), "greeting")
-        .when(_has_any(text, COMPARE_TERMS) & store, "compare_stores")
-        .when(_has_any(text, SYSTEM_TERMS), "system_summary")
-        .when(_has_any(text, STATUS_TERMS), "data_status")
-        .when(_has_any(text, MODEL_TERMS), "model_summary")
-        .when((F.contains(text, F.lit("top")) & store) | F.contains(text, F.lit(TOP_STORES_TERM)), "top_stores")
-        .when(_has_any(text, PROMO_TERMS), "promo_impact")
-        .when(_has_any(text, FORECAST_TERMS), "forecast")
-        .when(_has_any(text, KPI_TERMS), "kpi_summary")
-        .otherwise("help")
-    )
+
+    def chain(text: Column) -> Column:
+        store = F.contains(text, F.lit("store"))
+        top = F.contains(text, F.lit("top")) & store
+        return (
+            F.when(_has_any(text, GREETING_TERMS), "greeting")
+            .when(_has_any(text, COMPARE_TERMS) & store, "compare_stores")
+            .when(_has_any(text, SYSTEM_TERMS), "system_summary")
+            .when(_has_any(text, STATUS_TERMS), "data_status")
+            .when(_has_any(text, MODEL_TERMS), "model_summary")
+            .when(top | F.contains(text, F.lit(TOP_STORES_TERM)), "top_stores")
+            .when(_has_any(text, PROMO_TERMS), "promo_impact")
+            .when(_has_any(text, FORECAST_TERMS), "forecast")
+            .when(_has_any(text, KPI_TERMS), "kpi_summary")
+            .otherwise("help")
+        )
+
+    # Inside the lambda the lowered text is a variable: it is computed once, not once per keyword.
+    return F.get(F.transform(F.array(F.lower(message)), chain), F.lit(0))
 
 
 def utterance_variants(sample: Column) -> Column:

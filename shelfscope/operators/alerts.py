@@ -25,10 +25,9 @@ SEVERITY_RANK = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
 def _tick_of(ts: Column) -> tuple[Column, Column]:
     """Number of the first tick at or after ``ts``, and whether ``ts`` lies exactly on it."""
     micros, width = F.unix_micros(ts), TICK_SECONDS * 1000000
-    tick = F.ceil(micros / width).cast("long")
-    # Integer arithmetic decides the edge, the double quotient only proposes the tick.
-    tick = F.when(tick * width < micros, tick + 1).when((tick - 1) * width >= micros, tick - 1).otherwise(tick)
-    return tick, (micros % width) == 0
+    short = F.pmod(-micros, F.lit(width))
+    # The dividend is a multiple of the tick and below 2^53, so the quotient is exact.
+    return ((micros + short) / width).cast("long"), short == 0
 
 
 def tick_time(tick: Column) -> Column:
