@@ -133,7 +133,7 @@ def blank_report(contract: InputContract, profile_name: str) -> dict[str, Any]:
 
 
 def validate_frame(df: DataFrame, contract: InputContract, profile_name: str) -> dict[str, Any]:
-    """Validation report of a raw frame; one action, the aggregate of ``mismatch_counts``."""
+    """Validation report of a raw frame; one action, whose counts serve the unification manifest as well."""
     profile = contract.profile(profile_name)
     report = blank_report(contract, profile_name)
     checks, meta = report["checks"], report["metadata"]
@@ -147,13 +147,12 @@ def validate_frame(df: DataFrame, contract: InputContract, profile_name: str) ->
     meta["mapped_columns"] = sorted(set(plan.values()))
     meta["renamed_columns"] = {raw: name for raw, name in plan.items() if raw != name}
 
-    present = [c for c in profile.dtypes if c in named.columns]
-    if present:
-        rows = mismatch_counts(named, profile).collect()
-        meta["rows"] = rows[0]["row_count"]
-        meta["type_mismatches"] = {r["column_name"]: r["mismatches"] for r in rows}
-    else:
-        meta["rows"] = named.count()
+    stats = coercion_stats(df, contract, profile_name).collect()
+    meta["rows"] = stats[0]["row_count"]
+    meta["type_mismatches"] = {r["column_name"]: r["invalid_to_null"] for r in stats if r["column_name"] in named.columns}
+    meta["coercion_stats"] = {
+        r["column_name"]: {k: r[k] for k in ("expected_dtype", "invalid_to_null", "null_count_after")} for r in stats
+    }
 
     if meta["rows"] == 0:
         note("required_columns", FAIL, "CSV file is empty")
@@ -181,7 +180,6 @@ def unify_frame(
         raise ValueError("Cannot unify dataset with FAIL validation status")
     profile = contract.profile(profile_name)
     out = unified(df, contract, profile_name)
-    stats = coercion_stats(df, contract, profile_name).collect()
     extras = extra_columns(with_canonical_names(df, profile), profile)
     manifest = {
         "source_file_name": source_file_name,
@@ -191,10 +189,8 @@ def unify_frame(
         "renamed_columns": report["metadata"]["renamed_columns"],
         "extra_columns_dropped": extras if contract.drop_unknown_columns else [],
         "retained_extra_columns": [] if contract.drop_unknown_columns else extras,
-        "coercion_stats": {
-            r["column_name"]: {k: r[k] for k in ("expected_dtype", "invalid_to_null", "null_count_after")} for r in stats
-        },
-        "output_row_count": stats[0]["row_count"],
+        "coercion_stats": report["metadata"]["coercion_stats"],
+        "output_row_count": report["metadata"]["rows"],
         "output_column_count": len(out.columns),
         "final_canonical_columns": list(profile.order),
     }

@@ -21,6 +21,10 @@ def _fact(spark, sf):
     return tables.fact_sales(spark, sf)
 
 
+def _fact_in_window(spark, sf):
+    return tables.fact_sales(spark, sf, FROM, TO)
+
+
 def _stores(spark, sf):
     return tables.dim_store(spark, sf)
 
@@ -188,7 +192,7 @@ QUERIES = [
                CAST(SUM(CASE WHEN COALESCE(open, 1) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS open_days
         FROM fact GROUP BY full_date, store_id""")),
     Query("sales_daily", "A-2 P-8",
-          lambda s, d: presented(kpi.sales_timeseries(_fact(s, d), "daily", FROM, TO)), oracle("fact", f"""
+          lambda s, d: presented(kpi.sales_timeseries(_fact_in_window(s, d), "daily", FROM, TO)), oracle("fact", f"""
         SELECT {DAY.format('full_date')} AS date, store_id, CAST(SUM(sales) AS DOUBLE) AS sales,
                CAST(SUM(COALESCE(customers, 0)) AS BIGINT) AS customers,
                CAST(MAX(COALESCE(promo, 0)) AS BIGINT) AS promo, CAST(MAX(COALESCE(open, 1)) AS BIGINT) AS open
@@ -238,14 +242,14 @@ QUERIES = [
         FROM dim_store s LEFT JOIN fact f ON f.store_id = s.store_id
         GROUP BY s.store_id, s.store_type, s.assortment, s.competition_distance""")),
     Query("store_comparison_window", "A-9 F-13 X-1", lambda s, d: presented(
-        kpi.store_comparison_window(_stores(s, d), _fact(s, d), None, FROM, TO)),
+        kpi.store_comparison_window(_stores(s, d), _fact_in_window(s, d), None, FROM, TO)),
           oracle("fact dim_store", WINDOW_SQL.format(
               measures=STORE_MEASURES_SQL.format(p=""), facts=f"(SELECT * FROM fact WHERE full_date {BETWEEN})"))),
     Query("store_comparison_ids", "A-9 P-11 X-1", lambda s, d: presented(
         kpi.store_comparison_window(_stores(s, d), _fact(s, d), kpi.ranked_totals(_fact(s, d), 10), FROM, TO, legacy=True)),
           oracle("fact dim_store", WINDOW_SQL.format(measures=STORE_MEASURES_SQL.format(p=""), facts="fact")
                  + " WHERE store_id IN (SELECT store_id FROM fact GROUP BY 1 ORDER BY SUM(sales) DESC, 1 LIMIT 10)")),
-    Query("kpi_summary", "A-7 P-8", lambda s, d: presented(kpi.kpi_summary(_fact(s, d), FROM, TO)), oracle("fact", f"""
+    Query("kpi_summary", "A-7 P-8", lambda s, d: presented(kpi.kpi_summary(_fact_in_window(s, d), FROM, TO)), oracle("fact", f"""
         WITH filtered AS (SELECT full_date, store_id, SUM(sales) AS s, SUM(customers) AS c,
                                  SUM(CASE WHEN promo = 1 THEN 1 ELSE 0 END) AS p,
                                  SUM(CASE WHEN open = 1 THEN 1 ELSE 0 END) AS o

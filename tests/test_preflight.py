@@ -255,3 +255,21 @@ def test_merge(spark, tmp_path):
     new = spark.createDataFrame([(2, 2, "c"), (3, 1, "d"), (3, 2, "e")], "id int, v int, x string")
     out = sinks.merge_to(old, new, ["id"], "v", str(tmp_path / "m"))
     assert {(r["id"], r["x"]) for r in out.collect()} == {(1, "a"), (2, "c"), (3, "e")}
+
+
+def test_fact_folders_are_pruned(spark, tmp_path):
+    from datetime import date
+
+    from shelfscope.operators import warehouse
+
+    sales, stores = files.smoke_data(spark)
+    clean = warehouse.clean_sales(sales.select(*[F.col(c).cast("string").alias(c) for c in sales.columns]))
+    fact = warehouse.build_fact(clean)
+    sinks.reload_warehouse(fact, warehouse.clean_store(stores), warehouse.build_dim_date(clean), str(tmp_path / "w"))
+    part = sinks.read_fact(spark, str(tmp_path / "w"), date(2013, 3, 10), date(2013, 4, 2))
+    assert part.count() == 10 * 24
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in scan
+    names = {p.name for p in (tmp_path / "w/fact_sales_daily").iterdir() if p.is_dir()}
+    assert names == {"year=2013", "year=2014"}
+    assert sinks.read_warehouse(spark, str(tmp_path / "w"))["fact_sales_daily"].count() == 5000
