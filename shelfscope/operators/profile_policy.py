@@ -72,53 +72,52 @@ def policy_counts(
     """Every number the policies look at, as (check_name, column_name, count).
 
     Coercion counts come from the raw rows, null and duplicate counts from the rows the date policy leaves,
-    range counts from the rows the duplicate policy leaves. Stages that drop nothing share their aggregate.
+    range counts from the rows the duplicate policy leaves. Counts of stages between which nothing is dropped
+    come from one aggregate: with the default policies one pass counts everything but the duplicates.
     """
     named = with_canonical_names(df, profile)
     typed = [c for c in profile.dtypes if c in named.columns]
     dates = [c for c in typed if profile.dtypes[c] == "date"]
-    dropping_dates = policy.get("on_invalid_dates") == "drop"
-    dropping_duplicates = policy.get("on_duplicates") == "drop"
+    flags = [is_invalid(F.col(c), profile.dtypes[c]).alias(f"_bad_{c}") for c in typed]
+    rows = coerced_rows(named.select("*", *flags), profile)
 
     def long(stage: DataFrame, aggregates: list[tuple[str, str, Column]]) -> DataFrame:
         one = stage.agg(*[a.alias(f"c{i}") for i, (_, _, a) in enumerate(aggregates)])
-        rows = [
+        found = [
             F.struct(F.lit(k).alias("check_name"), F.lit(c).alias("column_name"), F.col(f"c{i}").cast("long").alias("count"))
             for i, (k, c, _) in enumerate(aggregates)
         ]
-        return one.select(F.inline(F.array(*rows)))
-
-    raw = [("coercion", c, F.count_if(is_invalid(F.col(c), profile.dtypes[c]))) for c in typed]
-    raw.append(("rows_read", "", F.count("*")))
-    out = long(named, raw)
-
-    rows = coerced_rows(df, profile)
-    invalid_dates = [("invalid_date", c, F.count_if(F.col(c).isNull())) for c in dates]
-    after_dates = rows.dropna(subset=dates) if dropping_dates and dates else rows
-    required = [c for c in profile.required if c in rows.columns]
-    nulls = [("null_required", c, F.count_if(F.col(c).isNull())) for c in required]
-    nulls.append(("rows_after_dates", "", F.count("*")))
-
-    keys = [c for c in duplicate_subset if c in rows.columns] or [c for c in rows.columns if c != ROW_ORDER]
-    groups = after_dates.groupBy(*keys).agg(F.count("*").alias("n"))
+        return one.select(F.inline(F.array(*found)))
+
+    counted = [c for c in rows.columns if not c.startswith("_bad_")]
+    required = [c for c in profile.required if c in counted]
+    stages = [(rows, [
+        *[("coercion", c, F.count_if(F.col(f"_bad_{c}"))) for c in typed],
+        ("rows_read", "", F.count("*")),
+        *[("invalid_date", c, F.count_if(F.col(c).isNull())) for c in dates],
+    ])]
+    current = rows
+    if policy.get("on_invalid_dates") == "drop" and dates:
+        current = current.dropna(subset=dates)
+        stages.append((current, []))
+    stages[-1][1].extend([
+        *[("null_required", c, F.count_if(F.col(c).isNull())) for c in required],
+        ("rows_after_dates", "", F.count("*")),
+    ])
+    keys = [c for c in duplicate_subset if c in counted] or [c for c in counted if c != ROW_ORDER]
+    groups = current.groupBy(*keys).agg(F.count("*").alias("n"))
     duplicates = long(groups, [("duplicate", "", F.coalesce(F.sum(F.col("n") - 1), F.lit(0)))])
-
-    after_duplicates = keep_first(after_dates, keys) if dropping_duplicates else after_dates
-    tests = [("range_" + kind, c, F.count_if(t)) for c, kind, t in _range_tests(ranges, rows.columns)]
-    tests.append(("rows_after_policy", "", F.count("*")))
-
-    if dropping_dates:
-        out = out.unionByName(long(rows, invalid_dates)) if invalid_dates else out
-        stages = [(after_dates, nulls)]
-    else:
-        stages = [(rows, invalid_dates + nulls)]
-    if dropping_duplicates:
-        stages.append((after_duplicates, tests))
-    else:
-        stages[-1] = (stages[-1][0], stages[-1][1] + tests)
+    if policy.get("on_duplicates") == "drop":
+        current = keep_first(current.select(*counted), keys)
+        stages.append((current, []))
+    stages[-1][1].extend([
+        *[("range_" + kind, c, F.count_if(t)) for c, kind, t in _range_tests(ranges, counted)],
+        ("rows_after_policy", "", F.count("*")),
+    ])
+    out = duplicates
     for stage, aggregates in stages:
         out = out.unionByName(long(stage, aggregates))
-    return out.unionByName(duplicates)
+    return out
 
 
 def validate_profile(

@@ -267,6 +267,17 @@ QUERIES = [
                ROUND(delta, 2) AS delta_pct,
                CASE WHEN abs(delta) <= 3 THEN 'stable' WHEN delta > 0 THEN 'degrading' ELSE 'improving' END AS drift_status
         FROM d"""),
+    Query("experiment_overall_drift", "M-12 X-11", lambda s, d: presented(
+        runlog.overall_drift(runlog.experiment_drift(tables.experiments(s, d)))), """
+        WITH c AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders
+                   WHERE o_orderstatus = 'F'),
+        v AS (SELECT unnest([a.o_totalprice, a.o_totalprice * 2, a.o_custkey + 1.0, a.o_orderkey + 1.0]) AS x,
+                     unnest([b.o_totalprice, b.o_totalprice * 2, b.o_custkey + 1.0, b.o_orderkey + 1.0]) AS y
+              FROM c a JOIN c b ON a.r = 1 AND b.r = 2),
+        d AS (SELECT (x - y) / greatest(abs(y), 1e-8) * 100 AS delta FROM v)
+        SELECT CASE WHEN COUNT(*) FILTER (delta > 3) > 0 THEN 'degrading'
+                    WHEN COUNT(*) > 0 AND COUNT(*) FILTER (delta < -3) = COUNT(*) THEN 'improving' ELSE 'stable' END
+               AS overall_drift FROM d"""),
     Query("outbox_filter", "P-14", _filtered_outbox, oracle("outbox", f"""
         SELECT id, channel_target, status, {TS.format('next_retry_at')} AS next_retry_at FROM outbox
         WHERE status IN ('PENDING', 'RETRYING') AND event_type = 'ALERT_FIRING'

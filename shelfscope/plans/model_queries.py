@@ -69,6 +69,13 @@ def _importance(spark, sf):
     return presented(models.permutation_importance(recent, chosen.scorer, chosen.columns, named))
 
 
+def _evaluation(spark, sf):
+    """The trained model in its saved form, evaluated on the last days, overall and by store type."""
+    frame = _frame(spark, sf)
+    artifact = models.Artifact.of(models.select_model(frame, grids={}))
+    return presented(models.evaluate_saved(frame, artifact, 90))
+
+
 def _labelled(spark, sf):
     """Utterances labelled by the lead sentence they were built with."""
     labels = F.array(*[F.lit(x) for x in (
@@ -167,6 +174,7 @@ QUERIES = [
                        + CAST(store_type IN (SELECT v FROM k WHERE f = 't') AS BIGINT) AS hot_columns,
                (SELECT COUNT(*) FROM k) AS num_columns FROM dim_store""")),
     Query("model_selection", "M-2 M-5 M-6 M-7 A-31 A-33 X-6", _selection),
+    Query("model_evaluation", "M-10 A-30", _evaluation),
     Query("model_importance", "M-9", _importance),
     Query("forecast_model", "M-13 M-14", _model_forecast),
     Query("scenario_model_segment", "M-16", _model_scenario),

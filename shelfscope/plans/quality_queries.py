@@ -85,6 +85,18 @@ def _policy(spark, sf, **changes):
         source["duplicate_subset"], source["ranges"]))
 
 
+def _checks(spark, sf):
+    """Content checks of the raw export as rows."""
+    report = validation.validate_frame(tables.raw_sales(spark, sf), _contract(), "train")
+    meta = report["metadata"]
+    details = {
+        "row_limit": meta["rows"], "types": sum(meta["type_mismatches"].values()), "extra_columns": len(meta["extra_columns"]),
+        "required_columns": len(meta["mapped_columns"]),
+    }
+    rows = [(name, report["checks"][name], int(count), report["status"]) for name, count in details.items()]
+    return spark.createDataFrame(rows, "check_name string, status string, num bigint, report_status string")
+
+
 def _flags(spark, sf):
     """Flag words of the raw export as booleans, and their truthiness."""
     raw = tables.raw_sales(spark, sf)
@@ -174,6 +186,14 @@ QUERIES = [
         SELECT store_id, day_of_week, {DAY.format('full_date')} AS full_date, sales, customers, open, promo,
                state_holiday, school_holiday, custom_metric AS "CustomMetric" FROM unified""")),
     Query("coercion_stats", "Q-7", _coercion, oracle("unified", _stat_sql("invalid_to_null", "null_count_after"))),
+    Query("validation_checks", "Q-2 Q-3 Q-4 Q-5 Q-6 U-2", _checks, oracle("unified", f"""
+        WITH m AS (SELECT CAST(SUM(bad) AS BIGINT) AS bad, MAX(row_count) AS n FROM ({_stat_sql('bad', None)})),
+        c AS (SELECT 'row_limit' AS check_name, CASE WHEN n > 2000000 THEN 'FAIL' ELSE 'PASS' END AS status, n AS num FROM m
+              UNION ALL SELECT 'types', CASE WHEN bad > 0 THEN 'WARN' ELSE 'PASS' END, bad FROM m
+              UNION ALL SELECT 'extra_columns', 'WARN', 1
+              UNION ALL SELECT 'required_columns', CASE WHEN n = 0 THEN 'FAIL' ELSE 'PASS' END, 9 FROM m)
+        SELECT *, CASE WHEN (SELECT COUNT(*) FROM c WHERE status = 'FAIL') > 0 THEN 'FAIL' ELSE 'WARN' END AS report_status
+        FROM c""")),
     Query("flag_words", "F-3 F-18", _flags, oracle("raw_sales", """
         SELECT open AS word, COUNT(*) AS num_rows, open IN ('1', 'yes') AS flag, open IN ('1', 'yes') AS is_truthy
         FROM raw_sales GROUP BY open""")),

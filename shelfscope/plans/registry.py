@@ -26,7 +26,7 @@ def presented(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DateType):
-            col = F.date_format(col, "yyyy-MM-dd")
+            col = col.cast("string")
         elif isinstance(field.dataType, T.TimestampType):
             col = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(field.dataType, T.DecimalType):

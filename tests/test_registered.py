@@ -11,7 +11,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 # Bounded frames that training needs are larger than the smallest data set gives.
-NEEDS_MORE_DATA = {"model_selection", "model_importance", "forecast_model", "scenario_model_segment"}
+NEEDS_MORE_DATA = {"model_selection", "model_evaluation", "model_importance", "forecast_model", "scenario_model_segment"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
