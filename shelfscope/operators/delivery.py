@@ -135,7 +135,8 @@ def delivery_stats(attempts: DataFrame, outbox: DataFrame, now: datetime) -> Dat
 
 
 def delivery_trends(attempts: DataFrame, bucket: str) -> DataFrame:
-    return attempts.groupBy(time_bucket(F.col("started_at"), bucket).alias("bucket_start")).agg(
+    timed = attempts.where(F.col("started_at").isNotNull())
+    return timed.groupBy(time_bucket(F.col("started_at"), bucket).alias("bucket_start")).agg(
         *[c.alias(n) for n, c in _attempt_counts().items()],
         mean_of(_latency()).alias("avg_delivery_latency_ms"),
     )

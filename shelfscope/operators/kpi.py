@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import mean_of, uplift_pct
+from shelfscope.session import settled
 
 MAX_COMPARED_STORES = 10
 
@@ -100,6 +101,8 @@ def with_dense_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     come from the counts per bucket, a bounded frame, and the rank inside from a window per bucket. Rows
     then take the rank of their value, so many rows with the same value cost no window at all.
     """
+    # The ranked frame is read for its values and for its rows.
+    df = settled(df)
     magnitude = F.log2(1 + F.abs(F.col(value).cast("double"))) * 4096
     values = df.select(value).where(F.col(value).isNotNull()).distinct()
     values = values.withColumn("_bucket", F.floor(F.signum(F.col(value).cast("double")) * magnitude).cast("int"))

@@ -76,7 +76,8 @@ def run_stats(runs: DataFrame) -> DataFrame:
 
 def run_trends(runs: DataFrame, bucket: str) -> DataFrame:
     wanted = ("pass_count", "warn_count", "fail_count", "blocked_count")
-    return runs.groupBy(time_bucket(F.col("created_at"), bucket).alias("bucket_start")).agg(
+    timed = runs.where(F.col("created_at").isNotNull())
+    return timed.groupBy(time_bucket(F.col("created_at"), bucket).alias("bucket_start")).agg(
         *[c.alias(name) for name, c in _counts().items() if name in wanted]
     )
 

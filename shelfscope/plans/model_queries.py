@@ -124,6 +124,7 @@ def _grams(spark, sf):
     return presented(rows.select("conv_id", "turn", F.size(intents.word_grams(F.col("message"))).alias("num_grams")))
 
 
+# The keyword lists and patterns once more, for the SQL counterparts.
 TERMS = {
     "greeting": ["hello", "hi", "hey", "مرحبا", "اهلا", "ازيك"],
     "compare": ["compare", "vs", "versus", "مقارنة"],

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -32,16 +36,46 @@ def build_session(app_name: str = "shelfscope", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def _shared_folder(df: DataFrame) -> str | None:
+    return df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get(CHECKPOINT_CONF, None)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
     The folder is the one named by ``spark.checkpoint.dir``. A session without that setting and without
     a checkpoint directory of its own is refused: a machine-local folder would not survive an executor.
     """
+    folder = _shared_folder(df)
+    if not folder:
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get(CHECKPOINT_CONF, None)
-        if not folder:
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A small aggregate that the same plan reads more than once.
+
+    Written to the shared folder where there is one, so that the large input behind it is read once; without
+    such a folder it stays lazy and is computed per use.
+    """
+    return checkpointed(df) if _shared_folder(df) else df
+
+
+@contextmanager
+def reused(df: DataFrame) -> Iterator[DataFrame]:
+    """A frame that many jobs read.
+
+    On a cluster with a shared checkpoint folder it is written there once, so a lost executor costs no
+    recomputation; elsewhere it is cached and computed again where a cached part is lost.
+    """
+    if _shared_folder(df):
+        yield checkpointed(df)
+        return
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield cached
+    finally:
+        cached.unpersist()
