@@ -136,8 +136,8 @@ QUERIES = [
         ch(channel_target, max_attempts, firing_only) AS (VALUES ('channel_0', 5, FALSE), ('channel_1', 5, TRUE),
                                                                 ('channel_2', 3, FALSE))
         SELECT substr(sha256(policy_id || '|' || epoch_us(tick_at) || '|' || event_type), 1, 32) AS event_id, event_type,
-               policy_id AS alert_id, severity, src AS source_name, channel_target, max_attempts, 'PENDING' AS status,
-               0 AS attempt_count, {TS.format('tick_at')} AS created_at
+               policy_id AS alert_id, severity, src AS source_name, channel_target, CAST(max_attempts AS BIGINT) AS max_attempts, 'PENDING' AS status,
+               CAST(0 AS BIGINT) AS attempt_count, {TS.format('tick_at')} AS created_at
         FROM ev, ch WHERE event_type = 'ALERT_FIRING' OR (event_type = 'ALERT_RESOLVED' AND NOT firing_only)""")),
     Query("silence_overlay", "J-8 R-7 P-17", _silenced, oracle("alert_items silences", """
         WITH act AS (SELECT * FROM silences WHERE expired_at IS NULL AND starts_at <= TIMESTAMP '2000-06-01'

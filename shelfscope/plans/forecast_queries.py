@@ -141,8 +141,8 @@ QUERIES = [
         WITH l AS (SELECT store_id, MAX(full_date) AS last_date FROM fact GROUP BY store_id),
         d AS (SELECT store_id, last_date + CAST(i AS INTEGER) AS date, i AS step
               FROM l, unnest(generate_series(1, 30)) AS u(i))
-        SELECT store_id, {DAY.format('date')} AS date, step, 1 AS promo_always_on,
-               CAST(isodow(date) >= 6 AS BIGINT) AS promo_weekends_only, 0 AS promo_as_is,
+        SELECT store_id, {DAY.format('date')} AS date, step, CAST(1 AS BIGINT) AS promo_always_on,
+               CAST(isodow(date) >= 6 AS BIGINT) AS promo_weekends_only, CAST(0 AS BIGINT) AS promo_as_is,
                CAST(isodow(date) < 6 AS BIGINT) AS open_closed_weekend,
                ROUND(step - 4.8::DOUBLE, 6) AS shift_pct,
                ROUND(least(greatest(1000 * (1 + 0.03::DOUBLE * least(step - 1, 89)), 1100), 1500), 6) AS sigma FROM d""")),

@@ -205,7 +205,7 @@ QUERIES = [
     Query("run_trends_hour", "A-14 F-6", lambda s, d: presented(runlog.run_trends(_runs(s, d), "hour")),
           oracle("run_log", f"SELECT {TS.format(chr(40) + 'date_trunc(' + repr('hour') + ', created_at)' + chr(41) + '::TIMESTAMP')} AS bucket_start, {TREND_SQL}")),
     Query("semantic_reports", "S-9 F-20 F-17", _reports, oracle("run_log", """
-        SELECT run_id, final_status AS status, 2 AS total,
+        SELECT run_id, final_status AS status, CAST(2 AS BIGINT) AS total,
                CAST(final_status = 'PASS' AS BIGINT) + CAST(k % 5 <> 0 AS BIGINT) AS passed,
                CAST(final_status = 'WARN' AS BIGINT) + CAST(k % 5 = 0 AS BIGINT) AS warned,
                CAST(final_status = 'FAIL' AS BIGINT) AS failed FROM run_log WHERE k % 4 < 3""")),
@@ -229,12 +229,12 @@ QUERIES = [
         runlog.sources_with_health(tables.data_sources(s, d), _runs(s, d))), oracle("run_log data_sources", f"""
         WITH l AS (SELECT * FROM run_log
                    QUALIFY row_number() OVER (PARTITION BY data_source_id ORDER BY created_at DESC, run_id DESC) = 1)
-        SELECT id, name, is_default, is_active, final_status AS last_preflight_status,
+        SELECT CAST(id AS BIGINT) AS id, name, is_default, is_active, final_status AS last_preflight_status,
                {TS.format('created_at')} AS last_preflight_at, run_id AS last_preflight_run_id
         FROM data_sources LEFT JOIN l ON l.data_source_id = id""")),
     Query("active_sources", "T-8", lambda s, d: presented(
         runlog.ordered_sources(tables.data_sources(s, d), include_inactive=False)), oracle("data_sources", """
-        SELECT id, name, is_default, is_active FROM data_sources WHERE is_active""")),
+        SELECT CAST(id AS BIGINT) AS id, name, is_default, is_active FROM data_sources WHERE is_active""")),
     Query("run_metrics", "A-18", lambda s, d: presented(runlog.run_metrics(_runs(s, d))), oracle("run_log", f"""
         SELECT source_name, final_status, mode, COUNT(*) AS runs, COUNT(*) FILTER (blocked) AS blocked_runs,
                {TS.format('MAX(created_at)')} AS latest_at FROM run_log GROUP BY source_name, final_status, mode""")),
@@ -357,7 +357,7 @@ QUERIES = [
                              WHEN (http_status IS NULL OR http_status IN (408, 429) OR http_status >= 500)
                                   AND attempt < max_attempts THEN 'RETRYING' ELSE 'DEAD' END AS st FROM i)
         SELECT id, channel_target, event_type, CAST(attempt AS BIGINT) AS attempt_count, st AS status,
-               CASE WHEN known AND has_target THEN http_status END AS last_http_status,
+               CASE WHEN known AND has_target THEN CAST(http_status AS BIGINT) END AS last_http_status,
                CASE WHEN NOT known THEN 'CHANNEL_UNAVAILABLE' WHEN NOT has_target THEN 'CHANNEL_TARGET_MISSING'
                     WHEN NOT COALESCE(success, FALSE) THEN COALESCE(error_code, 'UNEXPECTED_ERROR') END AS last_error_code,
                CASE WHEN NOT COALESCE(success, FALSE) THEN error END AS last_error,
@@ -368,7 +368,7 @@ QUERIES = [
         WITH h AS (SELECT *, sha256(id || '|2024-01-31T12:00:00+00:00') AS x FROM outbox
                    WHERE status IN ('DEAD', 'FAILED', 'SENT'))
         SELECT substr(x, 1, 32) AS new_id, event_id, substr(x, 33, 32) AS delivery_id, id AS replayed_from_id,
-               channel_target, event_type, 'PENDING' AS status, 0 AS attempt_count, max_attempts,
+               channel_target, event_type, 'PENDING' AS status, CAST(0 AS BIGINT) AS attempt_count, CAST(max_attempts AS BIGINT) AS max_attempts,
                '2024-01-31 12:00:00.000000' AS next_retry_at, '2024-01-31 12:00:00.000000' AS created_at FROM h""")),
     Query("attempt_durations", "R-8 F-24", _durations, oracle("attempts", f"""
         SELECT attempt_id, {TS.format('started_at')} AS started_at,
