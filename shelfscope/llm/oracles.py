@@ -25,7 +25,7 @@ WITH docs AS (
 ), again AS (
   SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM win WHERE win IS NOT NULL) WHERE n > 1
 ), repeats AS (
-  SELECT rid, count(DISTINCT at) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS at FROM again) GROUP BY rid
+  SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS place FROM again) GROUP BY rid
 ), line AS (
   SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs
 ), judged AS (

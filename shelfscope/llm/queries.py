@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import bpe, chat_format, html_extract, quality_rules, secret_scan, sharding
+from shelfscope.llm import bpe, chat_format, html_extract, near_dedup, quality_rules, secret_scan, sharding
 from shelfscope.llm.oracles import ORACLES
 
 
@@ -25,6 +25,11 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = near_dedup.MinHash(words=2)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), rule).drop("text_key")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extract, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op10_bpe)
+    for f in (op1_html_extract, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op10_bpe)
 }
 SQL = ORACLES
