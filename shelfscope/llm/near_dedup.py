@@ -78,20 +78,27 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.unique(word_hash.shingles(hashes[at[i] : at[i + 1]], size))
 
 
+@lru_cache(maxsize=64)
+def _set_of(text: str, size: int) -> np.ndarray:
+    """One set; the pairs of a class come one after the other, so its set is mostly at hand."""
+    return next(_sets(pa.array([text], pa.string()), size))
+
+
 def _signed(docs: DataFrame, rule: MinHash) -> DataFrame:
     """doc_id, text_key, n_shingles, class_id (equal for equal shingle sets; null without words) and the signature."""
     names = rule.signature_columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, signatures = [], [], []
+            n, sums, signatures = [], [], []
             for own in _sets(batch.column(2), rule.words):
                 n.append(len(own))
-                one, two = word_hash.mix(own).sum(dtype=np.uint64), word_hash.mix(own ^ word_hash.BASE).sum(dtype=np.uint64)
-                ids.append(word_hash.mix(np.array([one * np.uint64(3) ^ word_hash.mix(two + np.uint64(len(own)))], np.uint64)).view(np.int64)[0] if len(own) else None)
+                sums.append((word_hash.mix(own).sum(dtype=np.uint64), word_hash.mix(own ^ word_hash.BASE).sum(dtype=np.uint64)))
                 signatures.append(rule.signature(own))
+            counts, sums = np.array(n, np.uint64), np.array(sums, np.uint64).reshape(len(n), 2)
+            ids = word_hash.mix(sums[:, 0] * np.uint64(3) ^ word_hash.mix(sums[:, 1] + counts)).view(np.int64)
             packed = np.array(signatures, "<u2").reshape(len(n), rule.places).view("<i8")
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.int64())]
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, mask=counts == 0)]
             columns += [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(packed.shape[1])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "class_id", *names])
 
@@ -139,15 +146,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts_of, rule: MinHash) ->
     both = near.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a")), "a")
 
-    @lru_cache(maxsize=64)
-    def shingle_set(text: str) -> np.ndarray:
-        return next(_sets(pa.array([text], pa.string()), rule.words))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = shingle_set(a.as_py()), shingle_set(b.as_py())
+                x, y = _set_of(a.as_py(), rule.words), _set_of(b.as_py(), rule.words)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 alike.append(100 * common >= rule.percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))

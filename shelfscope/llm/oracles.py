@@ -55,4 +55,31 @@ FROM counted
 """
 
 
-ORACLES: dict[str, str] = {"op6_quality_rules": _quality()}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION = rf"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '{_TERMS}') AS w FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, list_slice(w, s, s + 9) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM item WHERE len(w) > 0)
+), doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '{_TERMS}'), []) AS w FROM documents
+), sizes AS (
+  SELECT DISTINCT len(win) AS n FROM win
+), place AS (
+  SELECT rid, s, n, list_slice(w, s, s + n - 1) AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM doc, sizes WHERE len(w) >= n)
+), hit AS (
+  SELECT rid, s, n, item_id FROM place JOIN win USING (win)
+), words AS (
+  SELECT rid, count(DISTINCT at_word) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS at_word FROM hit) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op2_decontaminate": DECONTAMINATION, "op6_quality_rules": _quality()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import bpe, chat_format, html_extract, near_dedup, quality_rules, secret_scan, sharding
+from shelfscope.llm import bpe, chat_format, decontaminate, html_extract, near_dedup, quality_rules, secret_scan, sharding
 from shelfscope.llm.oracles import ORACLES
 
 
@@ -25,6 +25,14 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = near_dedup.MinHash(words=2)
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), rule).drop("text_key")
@@ -80,6 +88,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extract, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op10_bpe)
+    for f in (op1_html_extract, op2_decontaminate, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op10_bpe)
 }
 SQL = ORACLES
