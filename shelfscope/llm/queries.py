@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import bpe, chat_format, decontaminate, html_extract, near_dedup, quality_rules, secret_scan, sharding
+from shelfscope.llm import bpe, chat_format, decontaminate, html_extract, near_dedup, quality_rules, secret_scan, sharding, suffix_dedup
 from shelfscope.llm.oracles import ORACLES
 
 
@@ -75,6 +75,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s.end - s.start)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
@@ -88,6 +94,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extract, op2_decontaminate, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op10_bpe)
+    for f in (op1_html_extract, op2_decontaminate, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op8_suffix_dedup, op10_bpe)
 }
 SQL = ORACLES
