@@ -159,7 +159,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts_of, rule: MinHash) ->
 
 
 def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, text_key (64-bit hash of the text), n_shingles, component_id and kept.
+    """Per row of ``docs``: doc_id, text_key (64-bit hash of the text), n_shingles, root (a name of the component, null
+    without words), component_id (its smallest doc_id) and kept.
 
     Rows with equal shingle sets are one class, so copies never meet each other. Classes that share a key are first
     compared with the smallest and the largest class of the key only. What that leaves unlinked - classes of one key
@@ -212,11 +213,11 @@ def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str =
         "class_id", "least_id", F.coalesce("root", "class_id").alias("root")
     )
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    component = grouped.join(least, "root").select("class_id", "component_id")
+    component = grouped.join(least, "root").select("class_id", "root", "component_id")
     placed = signed.select("doc_id", "text_key", "n_shingles", "class_id").join(component, "class_id", "left")
     component_id = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return placed.select(
-        "doc_id", "text_key", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept")
+        "doc_id", "text_key", "n_shingles", "root", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept")
     )
 
 
@@ -225,14 +226,12 @@ def drop_near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: s
 
     Of rows that share that id one stays. Documents without words stay, each for itself.
     """
-    judged = near_duplicates(docs, rule, id_col, text_col)
-    worded = judged.filter("kept AND n_shingles > 0").groupBy("component_id").agg(
-        F.min("text_key").alias("__key"), F.count(F.lit(1)).alias("__n")
-    ).withColumnRenamed("component_id", "__id")
+    judged = near_duplicates(docs, rule, id_col, text_col).filter("kept AND root IS NOT NULL")
+    worded = judged.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("text_key").alias("__key"), F.count(F.lit(1)).alias("__n"))
     key = F.xxhash64(F.col(text_col))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key"))
-    found = docs.join(worded, same).select(*[docs[c] for c in docs.columns], "__n")
-    single = found.filter("__n = 1").drop("__n")
-    several = found.filter("__n > 1").drop("__n").dropDuplicates([id_col])
+    found = docs.join(worded, same).select(*[docs[c] for c in docs.columns], "__key", "__n")
+    single = found.filter("__n = 1").select(*docs.columns)
+    several = found.filter("__n > 1").dropDuplicates([id_col, "__key"]).select(*docs.columns)
     has_word = F.coalesce(F.length(F.btrim(F.col(text_col), F.lit(" \t\n\u000b\f\r"))), F.lit(0)) > 0
     return single.union(several).union(docs.filter(~has_word))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import bpe, chat_format, decontaminate, html_extract, near_dedup, quality_rules, secret_scan, sharding, suffix_dedup
+from shelfscope.llm import bpe, chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_rules, secret_scan, sharding, suffix_dedup
 from shelfscope.llm.oracles import ORACLES
 
 
@@ -35,7 +35,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = near_dedup.MinHash(words=2)
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), rule).drop("text_key")
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), rule).drop("text_key", "root")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated_lines(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
@@ -94,6 +99,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extract, op2_decontaminate, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op8_suffix_dedup, op10_bpe)
+    for f in (op1_html_extract, op2_decontaminate, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op8_suffix_dedup, op9_line_dedup, op10_bpe)
 }
 SQL = ORACLES
