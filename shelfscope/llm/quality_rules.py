@@ -122,5 +122,8 @@ def quality_columns(docs: DataFrame, rules: LineRules | None = None, text_col: s
 
 def clean_documents(docs: DataFrame, rules: LineRules | None = None, text_col: str = "text") -> DataFrame:
     """The documents that stay, in the columns of ``docs``, with the failed lines cut from their text."""
-    kept = quality_columns(docs, rules, text_col).filter("kept")
+    judged = quality_columns(docs, rules, text_col)
+    # As generated columns the verdict stays where it is computed: a filter over plain ones would be pushed below it
+    # and compute every array again for every reference.
+    kept = judged.select(F.inline(F.array(F.struct("row", "clean_text", "kept")))).filter("kept")
     return kept.select(*[(F.col("clean_text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
