@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 SPLIT = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-CACHED_WORDS = 400_000  # words whose codes a worker remembers; beyond that the memory is emptied, never a result
-WAVE = 200_000  # new words encoded together
+CACHED_WORDS = 200_000  # words whose codes a worker remembers; beyond that the memory is emptied, never a result
+WAVE = 50_000  # new words encoded together
 
 
 def byte_of_char() -> dict[str, int]:
@@ -34,47 +34,44 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
-def _with_room(table: np.ndarray, row: int, column: int) -> np.ndarray:
-    """``table`` with that row and column, a quarter larger where they are missing."""
-    rows, columns = table.shape
-    if row < rows and column < columns:
-        return table
-    return np.pad(table, ((0, rows // 4 if row >= rows else 0), (0, columns // 4 if column >= columns else 0)))
-
-
 class PairTable:
     """States, columns and the packed table of allowed (state, column) pairs."""
 
-    def __init__(self, n_tokens: int, merges: list[tuple[int, int, int]], first: list[int]) -> None:
-        table = np.zeros((1024, 1024), bool)
-        self.state, self.column = np.zeros(n_tokens, np.int32), np.zeros(n_tokens, np.int32)
-        of_state, of_column = [len(first)], [len(first)]  # tokens that share each
-        table[0, 0] = True
-        state, column = self.state.tolist(), self.column.tolist()
+    def __init__(self, n_tokens: int, merges: list[tuple[int, int, int]], n_bytes: int) -> None:
+        state, column = [0] * n_tokens, [0] * n_tokens
+        of_state, of_column = [n_bytes], [n_bytes]  # tokens that share each
+        steps: list[tuple[int, int, int, int]] = []  # row copied, column copied (-1: none), pair forbidden
         for a, b, c in merges:
             state[c] = state[b]
             of_state[state[b]] += 1
             if a != b:
                 column[c] = column[a]
                 of_column[column[a]] += 1
+            row = col = -1
             if of_state[state[a]] > 1:
-                of_state[state[a]] -= 1
-                table = _with_room(table, len(of_state), 0)
-                table[len(of_state)] = table[state[a]]
+                row = state[a]
+                of_state[row] -= 1
                 state[a] = len(of_state)
                 of_state.append(1)
             if of_column[column[b]] > 1:
-                of_column[column[b]] -= 1
-                table = _with_room(table, 0, len(of_column))
-                table[:, len(of_column)] = table[:, column[b]]
+                col = column[b]
+                of_column[col] -= 1
                 column[b] = len(of_column)
                 of_column.append(1)
-            table[state[a], column[b]] = False
+            steps.append((row, col, state[a], column[b]))
             if a == b:  # after a no a may be read any more, so no c either
                 column[c] = column[a]
                 of_column[column[a]] += 1
-        self.state[:], self.column[:] = state, column
-        self.bits = np.packbits(table[: len(of_state), : len(of_column)], axis=1, bitorder="little")
+        self.state, self.column = np.array(state, np.int32), np.array(column, np.int32)
+        bits = np.zeros((len(of_state), -(-len(of_column) // 8)), np.uint8)
+        bits[0, 0] = 1
+        for row, col, s, k in steps:
+            if row >= 0:
+                bits[s] = bits[row]
+            if col >= 0:
+                bits[:, k >> 3] |= ((bits[:, col >> 3] >> (col & 7)) & 1) << (k & 7)
+            bits[s, k >> 3] &= ~(1 << (k & 7)) & 255
+        self.bits = bits
 
     def allows(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether ``token`` may follow ``before``; -1 stands for the start of a word."""
@@ -93,13 +90,8 @@ class Automaton:
         vocab: dict[str, int] = spec["model"]["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        n = max([*vocab.values(), *self.added.values()]) + 1
-        self.token_bytes: list[bytes] = [b""] * n
-        for name, i in vocab.items():
-            self.token_bytes[i] = bytes(as_byte[ch] for ch in name)
-        for name, i in self.added.items():
-            self.token_bytes[i] = name.encode()
-        self.pairs = PairTable(n, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], [vocab[ch] for ch in as_byte])
+        self.token_bytes = arc_labels(path)
+        self.pairs = PairTable(len(self.token_bytes), [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], len(as_byte))
         self.length = np.array([len(t) for t in self.token_bytes], np.int32)
         self._compile_bytes(vocab.values())
         self.added_split = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -118,7 +110,10 @@ class Automaton:
                     own.append(-1)
                 at = children[at][b]
             own[at] = i
-        self.go = np.zeros((len(children), 256), np.int32)
+        inner = [i for i, c in enumerate(children) if c]
+        self.row = np.zeros(len(children), np.int32)  # a node without children steps like the node that it fails to
+        self.row[inner] = np.arange(len(inner))
+        self.go = np.zeros((len(inner), 256), np.int32)
         self.longest = np.array(own, np.int32)
         self.shorter = np.full(len(self.token_bytes), -1, np.int32)
         fail = np.zeros(len(children), np.int32)
@@ -133,10 +128,14 @@ class Automaton:
                     self.longest[node] = self.longest[back]
                 elif node != 0:
                     self.shorter[own[node]] = self.longest[back]
-                self.go[node] = self.go[back]
+                if not children[node]:
+                    self.row[node] = self.row[back]
+                    continue
+                row, outer = self.row[node], self.row[back]
+                self.go[row] = self.go[outer]
                 for b, child in children[node].items():
-                    fail[child] = self.go[back, b]
-                    self.go[node, b] = child
+                    fail[child] = self.go[outer, b]
+                    self.go[row, b] = child
                     deeper.append(child)
             level = deeper
 
@@ -152,7 +151,7 @@ class Automaton:
         for i in range(int(lengths.max(initial=0))):
             k = int(np.searchsorted(-sorted_lengths, -i))  # words longer than i
             at = starts[alive[:k]]
-            node = self.go[node[:k], data[at + i]]
+            node = self.go[self.row[node[:k]], data[at + i]]
             token = self.longest[node]
             open_ = np.arange(k)
             while len(open_):
@@ -206,9 +205,25 @@ class Automaton:
             codes.update(zip(wave, self.encode_words([w.encode() for w in wave]), strict=True))
         return [np.frombuffer(b"".join(map(codes.__getitem__, words)), "<i4") for words in split]
 
-    def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs one after the other, as text; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def spelled(ids: list[int], labels: list[bytes]) -> str:
+    """The labels of the arcs one after the other, as text; bytes that aren't UTF-8 become U+FFFD."""
+    return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
+
+
+@lru_cache(maxsize=2)
+def arc_labels(path: str) -> list[bytes]:
+    """The bytes of each token of a vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    as_byte = byte_of_char()
+    named = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+    added = {t["id"] for t in spec["added_tokens"]}
+    labels = [b""] * (max(named.values()) + 1)
+    for name, i in named.items():
+        labels[i] = name.encode() if i in added else bytes(as_byte[ch] for ch in name)
+    return labels
 
 
 @lru_cache(maxsize=2)
@@ -217,10 +232,11 @@ def automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spell: bool = False) -> DataFrame:
     """``doc_id`` and ``ids``: the token ids of the whole text. ``path``: vocabulary file, the same on every executor.
+    ``spell`` adds ``text``, decoded from the ids in the same pass.
 
-    Row-wise, no shuffle. A worker compiles the table once (about 140 MB) and remembers at most ``CACHED_WORDS`` codes.
+    Row-wise, no shuffle. A worker compiles the table once (about 80 MB) and remembers at most ``CACHED_WORDS`` codes.
 
     Defined cases: a null or empty text has no ids; null and repeated ids keep a row each; an empty table gives no
     rows; further columns are ignored.
@@ -231,11 +247,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for part in _portions(batch):
                 codes = automaton(path).encode([t or "" for t in part.column(1).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(codes)))]
+                if spell:
+                    columns.append(pa.array([spelled(c.tolist(), arc_labels(path)) for c in codes], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * spell
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -243,15 +262,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1)
-            texts = [None if x is None else automaton(path).decode(x) for x in (row.values.to_numpy().tolist() if row.is_valid else None for row in ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            texts = [spelled(row.values.to_pylist(), arc_labels(path)) if row.is_valid else None for row in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
-def _portions(batch: pa.RecordBatch, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _portions(batch: pa.RecordBatch, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes of text, so that very long texts don't pile up."""
     sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
     start = 0

@@ -87,8 +87,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary(), spell=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
