@@ -46,8 +46,9 @@ def to_number(value: Column) -> Column:
 
 
 def to_int(value: Column) -> Column:
-    """Integers go through double, so '5.0' is 5; a fraction is cut off."""
-    return to_number(value).try_cast("bigint")
+    """Whole numbers are read exactly; other notations go through double, so '5.0' is 5 and a fraction is cut off."""
+    text = _text(value)
+    return F.when(text.rlike(r"^[+-]?\d{1,19}$"), text.try_cast("bigint")).otherwise(to_number(value).try_cast("bigint"))
 
 
 def to_timestamp_mixed(value: Column) -> Column:

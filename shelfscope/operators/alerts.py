@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfscope.functions.numeric import compare
+from shelfscope.operators.grid import first_rows
 from shelfscope.operators.keyed import latest_per_key
 from shelfscope.sources.policies import Policy, policy_frame
 
@@ -314,9 +315,9 @@ def with_acknowledgements(alerts: DataFrame, acknowledgements: DataFrame) -> Dat
     )
 
 
-def listed_alerts(alerts: DataFrame, limit: int) -> DataFrame:
+def listed_alerts(alerts: DataFrame, limit: int | None = None) -> DataFrame:
     """Most severe first, then last seen first."""
     rank = F.lit(0)
     for name, value in SEVERITY_RANK.items():
         rank = F.when(F.col("severity") == name, value).otherwise(rank)
-    return alerts.orderBy(rank.desc(), F.desc("last_seen_at"), F.desc("alert_id")).limit(max(1, min(limit, 5000)))
+    return first_rows(alerts.orderBy(rank.desc(), F.desc("last_seen_at"), F.desc("alert_id")), limit)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions.calendar import time_bucket
 from shelfscope.functions.numeric import elapsed_ms, is_retryable, mean_of, retry_delay_seconds
 from shelfscope.functions.text import safe_error_text, upper_or
+from shelfscope.operators.grid import first_rows
 from shelfscope.operators.percentile import exact_percentile
 
 # Fixed values.
@@ -83,9 +84,12 @@ def filtered_attempts(
     return _window(attempts, date_field, window)
 
 
-def due_items(outbox: DataFrame, now: datetime, limit: int, statuses: tuple[str, ...] = PENDING) -> DataFrame:
+def due_items(
+    outbox: DataFrame, now: datetime, limit: int | None = None, statuses: tuple[str, ...] = PENDING
+) -> DataFrame:
+    """Items to be sent now, the longest due first: all of them, or as many as the caller can take."""
     due = outbox.where(F.col("status").isin(*statuses) & (F.col("next_retry_at") <= F.lit(now)))
-    return due.orderBy("next_retry_at", "created_at", "id").limit(max(1, min(limit, 1000)))
+    return first_rows(due.orderBy("next_retry_at", "created_at", "id"), limit)
 
 
 # Statistics ------------------------------------------------------------------------------------------

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from shelfscope.functions.numeric import mean_of, uplift_pct
 from shelfscope.session import settled
 
-MAX_COMPARED_STORES = 10
-
 
 def _promo_on() -> Column:
     return F.coalesce("promo", F.lit(0)) == 1
@@ -182,17 +180,18 @@ def store_comparison_window(
     date_from: date,
     date_to: date,
     legacy: bool = False,
+    most: int | None = None,
 ) -> DataFrame:
     """Comparison of chosen stores (all when None) in a date window, with promotion uplift.
 
-    The stores are a list of at most ten ids or a frame of ids, such as a top-k report.
+    The stores are a list of ids, of which ``most`` can bound the number, or a frame of ids, such as a top-k report.
     ``legacy`` keeps the original behaviour in which the window does not restrict the facts.
     """
     if isinstance(store_ids, DataFrame):
         dim_store = dim_store.join(store_ids.select("store_id").distinct(), "store_id", "left_semi")
     elif store_ids is not None:
-        if not 1 <= len(store_ids) <= MAX_COMPARED_STORES:
-            raise ValueError(f"between 1 and {MAX_COMPARED_STORES} stores can be compared")
+        if not store_ids or (most is not None and len(store_ids) > most):
+            raise ValueError(f"stores to compare: at least one{'' if most is None else f' and at most {most}'}")
         dim_store = dim_store.where(F.col("store_id").isin(store_ids))
         fact = fact.where(F.col("store_id").isin(store_ids))
     if not legacy:

@@ -154,7 +154,7 @@ def rule_counts(events: DataFrame, keys: tuple[str, ...] = ("rule_id", "rule_typ
 
 def top_rules(events: DataFrame, limit: int = 10) -> DataFrame:
     ranked = ["fail_count", "warn_count", "last_seen_at", "rule_id", "rule_type", "severity"]
-    return rule_counts(events).orderBy(*[F.desc(c) for c in ranked]).limit(max(1, min(limit, 100)))
+    return rule_counts(events).orderBy(*[F.desc(c) for c in ranked]).limit(max(1, limit))
 
 
 def run_rollup(runs: DataFrame) -> DataFrame:

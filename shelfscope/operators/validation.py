@@ -156,7 +156,7 @@ def validate_frame(df: DataFrame, contract: InputContract, profile_name: str) ->
 
     if meta["rows"] == 0:
         note("required_columns", FAIL, "CSV file is empty")
-    if meta["rows"] > contract.max_rows:
+    if contract.max_rows is not None and meta["rows"] > contract.max_rows:
         note("row_limit", FAIL, f"Row count {meta['rows']} exceeds max_rows={contract.max_rows}")
     missing = sorted(set(profile.required) - {normal_name(c) for c in named.columns})
     if missing:

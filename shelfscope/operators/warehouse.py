@@ -112,8 +112,10 @@ def build_fact(sales: DataFrame, sales_sum: Column | None = None) -> DataFrame:
     """One row per store and day: sums of sales and customers, maxima of the flags.
 
     ``groupBy`` combines on the map side, so a store that holds a large share of all lines reaches the
-    shuffle as at most one row per day and map task. The date key is computed, not looked up.
+    shuffle as at most one row per day and map task. The date key is computed, not looked up. The holiday code, one
+    character, is carried as its number: a maximum over text would sort all lines, one over numbers hashes them.
     """
+    code = F.max(F.ascii("state_holiday"))
     total = sales_sum if sales_sum is not None else F.sum(F.col("sales").cast("decimal(14,2)"))
     return (
         sales.groupBy("store_id", "full_date")
@@ -121,7 +123,7 @@ def build_fact(sales: DataFrame, sales_sum: Column | None = None) -> DataFrame:
             total.cast("decimal(14,2)").alias("sales"),
             F.sum("customers").cast("long").alias("customers"),
             F.max("promo").alias("promo"),
-            F.max("state_holiday").alias("state_holiday"),
+            F.when(code > 0, F.char(code)).when(code == 0, "").alias("state_holiday"),
             F.max("school_holiday").alias("school_holiday"),
             F.max("open").alias("open"),
         )

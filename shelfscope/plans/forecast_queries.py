@@ -133,7 +133,7 @@ QUERIES = [
     Query("scenario_segment", "M-16 A-28 J-11 P-10", lambda s, d: _rounded(forecast.scenario_summary(
         forecast.segment_points(_points(s, d, segment=forecast.Segment(assortment="a")))).drop(
             "max_delta_date", "max_delta_value")), _oracle("fact dim_store", f"""
-        {POINTS}, seg AS (SELECT store_id FROM dim_store WHERE assortment = 'a' ORDER BY store_id LIMIT 50),
+        {POINTS}, seg AS (SELECT store_id FROM dim_store WHERE assortment = 'a'),
         q AS (SELECT step, SUM(bs) AS bs, SUM(ss) AS ss FROM pts WHERE store_id IN (SELECT store_id FROM seg)
               GROUP BY step)
         SELECT {SUMMARY} FROM q""")),

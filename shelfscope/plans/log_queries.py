@@ -42,7 +42,7 @@ def _reports(spark, sf):
 
 def _latest_page(spark, sf):
     rows = _runs(spark, sf).select("run_id", "source_name", "created_at", "final_status")
-    return presented(grid.latest_first(rows, "created_at", "run_id", limit=2000, most=200))
+    return presented(grid.latest_first(rows, "created_at", "run_id", limit=2000))
 
 
 def _iso(spark, sf):
@@ -75,7 +75,7 @@ def _filtered_attempts(spark, sf):
 
 def _newest_attempts(spark, sf):
     rows = tables.delivery_attempts(spark, sf).select("attempt_id", "channel_target", "attempt_status", "started_at")
-    return presented(grid.latest_first(rows, "started_at", "attempt_id", limit=500, most=1000))
+    return presented(grid.latest_first(rows, "started_at", "attempt_id", limit=500))
 
 
 def _deliveries_page(spark, sf):
@@ -84,7 +84,7 @@ def _deliveries_page(spark, sf):
 
 
 def _due(spark, sf):
-    return presented(delivery.due_items(tables.outbox(spark, sf), NOW, 1000).select("id", "status", "next_retry_at"))
+    return presented(delivery.due_items(tables.outbox(spark, sf), NOW).select("id", "status", "next_retry_at"))
 
 
 def _dispatch(spark, sf):
@@ -149,7 +149,7 @@ def _experiments(spark, sf):
     rows = runlog.experiment_payload(tables.experiments(spark, sf))
     rows = rows.select("experiment_id", "status", F.col("train_period.start").alias("train_start"),
                        F.col("validation_period.end").alias("validation_end"), "created_at")
-    return presented(grid.latest_first(rows, "created_at", "experiment_id", limit=1000, most=200))
+    return presented(grid.latest_first(rows, "created_at", "experiment_id", limit=1000))
 
 
 RUN_COUNTS_SQL = """COUNT(*) AS total_runs, COUNT(*) FILTER (final_status = 'PASS') AS pass_count,
@@ -240,7 +240,7 @@ QUERIES = [
                {TS.format('MAX(created_at)')} AS latest_at FROM run_log GROUP BY source_name, final_status, mode""")),
     Query("latest_runs_page", "T-3", _latest_page, oracle("run_log", f"""
         SELECT run_id, source_name, {TS.format('created_at')} AS created_at, final_status FROM run_log
-        ORDER BY run_log.created_at DESC, run_id DESC LIMIT 200""")),
+        ORDER BY run_log.created_at DESC, run_id DESC LIMIT 2000""")),
     Query("iso_timestamps", "F-19", _iso, oracle("run_log", """
         SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS day, COUNT(*) AS num_rows, COUNT(*) AS same
         FROM run_log GROUP BY 1""")),
@@ -252,7 +252,7 @@ QUERIES = [
                CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'RUNNING' ELSE 'FAILED' END AS status,
                strftime(CAST(o_orderdate AS DATE) - 900, '%Y-%m-%d') AS train_start,
                strftime(o_orderdate, '%Y-%m-%d') AS validation_end, {TS.format('o_orderdate')} AS created_at
-        FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200"""),
+        FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000"""),
     Query("experiment_drift", "M-12", lambda s, d: presented(runlog.experiment_drift(tables.experiments(s, d))), """
         WITH c AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders
                    WHERE o_orderstatus = 'F'),
@@ -294,8 +294,7 @@ QUERIES = [
         WHERE status = 'DEAD' ORDER BY outbox.created_at DESC, id DESC LIMIT 200 OFFSET 400""")),
     Query("due_items", "P-16", _due, oracle("outbox", f"""
         SELECT id, status, {TS.format('next_retry_at')} AS next_retry_at FROM outbox
-        WHERE status IN ('PENDING', 'RETRYING') AND outbox.next_retry_at <= TIMESTAMP '2024-01-31 12:00:00'
-        ORDER BY outbox.next_retry_at, created_at, id LIMIT 1000""")),
+        WHERE status IN ('PENDING', 'RETRYING') AND outbox.next_retry_at <= TIMESTAMP '2024-01-31 12:00:00'""")),
     Query("delivery_stats", "A-19 F-24", lambda s, d: presented(
         delivery.delivery_stats(tables.delivery_attempts(s, d), tables.outbox(s, d), NOW).withColumn(
             "p95_delivery_latency_ms", F.round("p95_delivery_latency_ms", 4))), oracle("attempts outbox", f"""

@@ -63,7 +63,7 @@ def validate_file(spark: SparkSession, path: str, contract: InputContract, profi
     if not facts.exists:
         problems.append(("format", f"File does not exist: {path}"))
     else:
-        if facts.size_bytes > contract.max_file_size_mb * 1024 * 1024:
+        if contract.max_file_size_mb is not None and facts.size_bytes > contract.max_file_size_mb * 1024 * 1024:
             problems.append(("file_size", f"File size {facts.size_bytes} exceeds {contract.max_file_size_mb} MB"))
         if not facts.is_csv:
             problems.append(("format", "Unsupported extension. Expected .csv"))
@@ -74,7 +74,7 @@ def validate_file(spark: SparkSession, path: str, contract: InputContract, profi
         report["status"] = FAIL
         return report, None
     encoding = files.choose_encoding(spark, path)
-    raw = files.read_raw_csv(spark, path, encoding)
+    raw = files.read_raw_csv(spark, path, encoding, contract.multiline)
     content = validation.validate_frame(raw, contract, profile)
     content["metadata"] |= {"file_name": facts.name, "file_size_bytes": facts.size_bytes, "encoding": encoding}
     return content, raw
@@ -111,6 +111,9 @@ def run_preflight(
     semantic, manifest = SKIPPED, None
     if report["status"] != FAIL:
         unified, manifest = validation.unify_frame(raw, contract, profile, report, report["metadata"]["file_name"])
+        # The raw text is parsed once more for this; rules, export and load then read typed columns.
+        unified.write.mode("overwrite").parquet(f"{folder}/unified.parquet")
+        unified = spark.read.parquet(f"{folder}/unified.parquet")
         results = [r.asDict() for r in quality.evaluate_rules(unified, list(contract.profile(profile).rules)).collect()]
         semantic = validation.worst(r["status"] for r in results)
         counts = {"total": len(results)} | {
@@ -131,7 +134,7 @@ def run_preflight(
     used_unified = mode == "enforce" and not blocked and manifest is not None
     result = PreflightResult(
         run_id, source_name, mode, report["status"], semantic, status,
-        f"{folder}/unified.csv" if used_unified else path, used_unified, folder, blocked, reason, data_source_id,
+        f"{folder}/unified.parquet" if used_unified else path, used_unified, folder, blocked, reason, data_source_id,
         contract_id, contract.version,
     )
     sinks.write_json_report(spark, asdict(result), f"{folder}/preflight_report")
@@ -167,7 +170,8 @@ def run_load(
         stopped = [c for c in checks.values() if c.blocked]
         if stopped:
             raise RuntimeError("; ".join(f"{c.source_name}: {c.block_reason}" for c in stopped))
-        raw_sales, raw_store = files.load_raw_data(spark, checks["train"].used_input_path, checks["store"].used_input_path)
+        used = [checks[name].used_input_path for name in ("train", "store")]
+        raw_sales, raw_store = files.load_raw_data(spark, *used, multiline=contract.multiline)
         sales, stores = warehouse.clean_sales(raw_sales), warehouse.clean_store(raw_store)
         fact = warehouse.build_fact(sales)
         sinks.reload_warehouse(fact, stores, warehouse.build_dim_date(sales), f"{root}/warehouse")

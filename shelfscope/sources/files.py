@@ -55,7 +55,10 @@ def choose_encoding(spark: SparkSession, path: str, encodings: list[str] | None
 
 
 def read_raw_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
-    """Every column as text, missing words as null, a byte-order mark taken off the first header."""
+    """Every column as text, missing words as null, a byte-order mark taken off the first header.
+
+    ``multiline`` reads line breaks inside quotes; a file is then read by one task, so it is the contract's choice.
+    """
     if ENCODINGS[encoding] != "UTF-8":
         # Spark 4 admits single-byte code pages in CSV only with this setting.
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -72,12 +75,20 @@ def read_raw_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multil
     )
 
 
-def load_raw_data(spark: SparkSession, sales_csv: str, store_csv: str) -> tuple[DataFrame, DataFrame]:
-    """Both raw inputs; a missing one is an error."""
-    for path in (sales_csv, store_csv):
+def load_raw_data(
+    spark: SparkSession, sales_path: str, store_path: str, multiline: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Both inputs, raw CSV or unified Parquet; a missing one is an error."""
+    for path in (sales_path, store_path):
         if not file_facts(spark, path).exists:
             raise FileNotFoundError(f"input not found: {path}")
-    return tuple(read_raw_csv(spark, p, choose_encoding(spark, p)) for p in (sales_csv, store_csv))
+
+    def read(path: str) -> DataFrame:
+        if path.endswith(".parquet"):
+            return spark.read.parquet(path)
+        return read_raw_csv(spark, path, choose_encoding(spark, path), multiline)
+
+    return read(sales_path), read(store_path)
 
 
 def smoke_data(spark: SparkSession, stores: int = 10, days: int = 500, start: str = "2013-01-01") -> tuple[DataFrame, DataFrame]:

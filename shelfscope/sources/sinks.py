@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import date
 from typing import Any
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,26 @@ def write_fact(fact: DataFrame, path: str) -> None:
 
 
 def reload_warehouse(fact: DataFrame, dim_store: DataFrame, dim_date: DataFrame, root: str) -> None:
-    """Full reload of the three tables."""
-    dim_date.write.mode("overwrite").parquet(f"{root}/dim_date")
-    dim_store.write.mode("overwrite").parquet(f"{root}/dim_store")
-    write_fact(fact, f"{root}/fact_sales_daily")
+    """Full reload of the three tables as one step: they go to a folder of their own, and one appended line makes it the
+    current one. A failure before that line leaves readers with the whole of the old version."""
+    version = uuid4().hex
+    folder = f"{root}/versions/{version}"
+    dim_date.write.parquet(f"{folder}/dim_date")
+    dim_store.write.parquet(f"{folder}/dim_store")
+    write_fact(fact, f"{folder}/fact_sales_daily")
+    made = fact.sparkSession.createDataFrame([(version,)], "version string").withColumn("made_at", F.current_timestamp())
+    made.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+
+
+def current_folder(spark: SparkSession, root: str) -> str:
+    newest = spark.read.parquet(f"{root}/commits").agg(F.max_by("version", "made_at")).first()[0]
+    return f"{root}/versions/{newest}"
 
 
 def read_fact(spark: SparkSession, root: str, date_from: date | None = None, date_to: date | None = None) -> DataFrame:
     """Fact rows of a date range. A bound on the day says nothing about the year and month folders, so the same
     bound is put on these too and whole folders are left out."""
-    fact = spark.read.parquet(f"{root}/fact_sales_daily")
+    fact = spark.read.parquet(f"{current_folder(spark, root)}/fact_sales_daily")
     folder = F.col("year") * 12 + F.col("month")
     if date_from is not None:
         fact = fact.where((folder >= date_from.year * 12 + date_from.month) & (F.col("full_date") >= F.lit(date_from)))
@@ -46,8 +57,8 @@ def read_fact(spark: SparkSession, root: str, date_from: date | None = None, dat
 def read_warehouse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {
         "fact_sales_daily": read_fact(spark, root),
-        "dim_store": spark.read.parquet(f"{root}/dim_store"),
-        "dim_date": spark.read.parquet(f"{root}/dim_date"),
+        "dim_store": spark.read.parquet(f"{current_folder(spark, root)}/dim_store"),
+        "dim_date": spark.read.parquet(f"{current_folder(spark, root)}/dim_date"),
     }
 
 
@@ -63,7 +74,12 @@ def append_log(records: DataFrame, path: str) -> None:
 
 
 def write_unified_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+    """Every value quoted and quotes doubled, so that commas, quotes and line breaks come back as they were."""
+    (
+        df.write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd")
+        .option("quoteAll", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
 
 
 def write_grid_csv(df: DataFrame, path: str) -> None:

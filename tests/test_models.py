@@ -216,9 +216,10 @@ def test_scenario_targets(frame):
         with pytest.raises(ValueError):
             forecast.run_scenario(*args, **bad)
     assert checked_store_ids([3, 1, 3]) == [3, 1]
-    for bad in ([], [0], list(range(1, 60))):
+    assert len(checked_store_ids(list(range(1, 60)))) == 59
+    for bad, most in (([], None), ([0], None), ([1, 2, 3], 2)):
         with pytest.raises(ValueError):
-            checked_store_ids(bad)
+            checked_store_ids(bad, most)
 
 
 def test_promo_modes_follow_the_model(spark, frame):

@@ -156,7 +156,7 @@ def test_modes(spark, contract, tmp_path, mode, text, blocked, unified, status):
     result = run_preflight(spark, path, contract, "train", mode, str(root), "train", "run_1", str(tmp_path / "log"))
     assert (result.blocked, result.used_unified, result.final_status) == (blocked, unified, status)
     assert root.exists() == (mode != "off")
-    assert result.used_input_path == (path if not unified else f"{root}/run_1/train/unified.csv")
+    assert result.used_input_path == (path if not unified else f"{root}/run_1/train/unified.parquet")
     if mode != "off":
         assert sinks.read_json_report(spark, f"{root}/run_1/train/preflight_report")["final_status"] == status
         assert spark.read.parquet(str(tmp_path / "log")).first()["final_status"] == status
@@ -270,6 +270,46 @@ def test_fact_folders_are_pruned(spark, tmp_path):
     assert part.count() == 10 * 24
     scan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in scan
-    names = {p.name for p in (tmp_path / "w/fact_sales_daily").iterdir() if p.is_dir()}
+    names = {p.name for p in next((tmp_path / "w/versions").iterdir()).joinpath("fact_sales_daily").iterdir() if p.is_dir()}
     assert names == {"year=2013", "year=2014"}
     assert sinks.read_warehouse(spark, str(tmp_path / "w"))["fact_sales_daily"].count() == 5000
+
+
+def test_text_survives_unified_csv(spark, tmp_path):
+    texts = ['he said "x", y', "two\nlines", "comma, here", " spaced ", "\ufeffmark", 'end"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    sinks.write_unified_csv(df, str(tmp_path / "u.csv"))
+    back = files.read_raw_csv(spark, str(tmp_path / "u.csv"), multiline=True)
+    assert {int(r["id"]): r["text"] for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_contract_without_limits(spark, contract, tmp_path):
+    assert contract.max_rows is None and contract.max_file_size_mb is None
+    assert check(spark, contract, put(tmp_path, "t.csv", GOOD))[0]["checks"]["row_limit"] == "PASS"
+
+
+def test_failed_reload_keeps_the_old_version(spark, tmp_path):
+    from shelfscope.operators import warehouse
+
+    sales, stores = files.smoke_data(spark, stores=2, days=40)
+    clean = warehouse.clean_sales(sales.select(*[F.col(c).cast("string").alias(c) for c in sales.columns]))
+    fact, dims = warehouse.build_fact(clean), (warehouse.clean_store(stores), warehouse.build_dim_date(clean))
+    sinks.reload_warehouse(fact, *dims, str(tmp_path / "w"))
+    broken = fact.withColumn("open", F.raise_error(F.lit("stop")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.reload_warehouse(broken, *dims, str(tmp_path / "w"))
+    assert sinks.read_warehouse(spark, str(tmp_path / "w"))["fact_sales_daily"].count() == 80
+
+
+def test_fact_does_not_sort_lines(spark, sf):
+    from shelfscope.sources import tables
+
+    plan = tables.fact_sales(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_whole_numbers_are_exact(spark):
+    from shelfscope.functions.coerce import to_int
+
+    rows = spark.createDataFrame([("9007199254740993",), ("5.0",), ("-7",), ("1e3",), ("x",), ("99999999999999999999",)], "t string")
+    assert [r[0] for r in rows.select(to_int(F.col("t"))).collect()][:5] == [9007199254740993, 5, -7, 1000, None]
