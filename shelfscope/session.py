@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +32,7 @@ def build_session(app_name: str = "shelfscope", master: str | None = None, **con
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -36,6 +41,22 @@ def build_session(app_name: str = "shelfscope", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that Python tasks find it from any working folder.
+
+    Not needed where it is installed on them, given with ``--py-files``, or on their ``PYTHONPATH``.
+    """
+    package = Path(__file__).resolve().parent
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark, "_shelfscope_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="shelfscope-")) / "shelfscope_package.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(package.rglob("*.py")):
+            packed.write(file, str(file.relative_to(package.parent)))
+    spark.sparkContext.addPyFile(str(archive))
+    spark._shelfscope_shipped = True
+
+
 def _shared_folder(df: DataFrame) -> str | None:
     return df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get(CHECKPOINT_CONF, None)
 
