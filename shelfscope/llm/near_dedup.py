@@ -8,7 +8,7 @@ a pair with similarity 0.8 differs in 12 on average and finds no common key once
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from itertools import combinations
@@ -24,6 +24,7 @@ from shelfscope.llm.scratch import written
 
 NOT_SPACE = word_hash.letters(" \t\n\u000b\f\r")
 LANES = 4  # 16-bit places in a long
+PARITY_BITS = 512
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,11 @@ class MinHash:
     def signature_columns(self) -> list[str]:
         return [f"s{i}" for i in range(self.places // LANES)]
 
+    @property
+    def columns(self) -> list[str]:
+        """Of a signed class: the signature and the parity sketch."""
+        return [*self.signature_columns, *[f"p{i}" for i in range(PARITY_BITS // 64)]]
+
     @cached_property
     def multipliers(self) -> np.ndarray:
         return word_hash.mix(np.arange(1, self.places + 1, dtype=np.uint64)) | np.uint64(1)
@@ -57,6 +63,13 @@ class MinHash:
             np.minimum(least, (shingles[i : i + (1 << 14), None] * self.multipliers).min(axis=0), out=least)
         return (word_hash.mix(least) & np.uint64(0xFFFF)).astype("<u2")
 
+    @staticmethod
+    def parity(shingles: np.ndarray) -> np.ndarray:
+        """For each of PARITY_BITS cells whether an odd number of shingles fall into it. Two sets differ in at least as
+        many elements as their sketches differ in bits, which rules pairs out without a doubt and without the sets."""
+        cells = np.bincount((word_hash.mix(shingles ^ word_hash.BASE) >> np.uint64(55)).astype(np.int64), minlength=PARITY_BITS)
+        return np.packbits((cells & 1).astype(bool)).view("<i8")
+
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """Per signature (a row of 16-bit places) the keys under which it can be found."""
         found = []
@@ -86,18 +99,20 @@ def _set_of(text: str, size: int) -> np.ndarray:
 
 def _signed(docs: DataFrame, rule: MinHash) -> DataFrame:
     """doc_id, text_key, n_shingles, class_id (equal for equal shingle sets; null without words) and the signature."""
-    names = rule.signature_columns
+    names = rule.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sums, signatures = [], [], []
+            n, sums, signatures, parities = [], [], [], []
             for own in _sets(batch.column(2), rule.words):
                 n.append(len(own))
                 sums.append((word_hash.mix(own).sum(dtype=np.uint64), word_hash.mix(own ^ word_hash.BASE).sum(dtype=np.uint64)))
                 signatures.append(rule.signature(own))
+                parities.append(rule.parity(own))
             counts, sums = np.array(n, np.uint64), np.array(sums, np.uint64).reshape(len(n), 2)
             ids = word_hash.mix(sums[:, 0] * np.uint64(3) ^ word_hash.mix(sums[:, 1] + counts)).view(np.int64)
             packed = np.array(signatures, "<u2").reshape(len(n), rule.places).view("<i8")
+            packed = np.concatenate([packed, np.array(parities, "<i8").reshape(len(n), PARITY_BITS // 64)], axis=1)
             columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, mask=counts == 0)]
             columns += [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(packed.shape[1])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "class_id", *names])
@@ -132,16 +147,21 @@ def _places_apart(rule: MinHash) -> Column:
     return total
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts_of, rule: MinHash) -> DataFrame:
-    """Of distinct candidate (a, b) those whose full shingle sets are similar enough. ``texts_of``: (class_id) to texts."""
-    near = (
-        pairs.join(classes.alias("x"), F.col("a") == F.col("x.class_id"))
-        .join(classes.alias("y"), F.col("b") == F.col("y.class_id"))
-        .filter(_places_apart(rule) <= rule.most_apart)
-        .filter(F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * rule.percent)
-        .select("a", "b")
+def _may_be_near(rule: MinHash) -> Column:
+    """Whether the classes x.* and y.* can't be ruled out: by size, by parity (both certain) and by signature."""
+    sizes, differ = F.col("x.n_shingles") + F.col("y.n_shingles"), F.lit(0)
+    for c in rule.columns[len(rule.signature_columns) :]:
+        differ = differ + F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    return (
+        (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * rule.percent)
+        & (differ * (100 + rule.percent) <= sizes * (100 - rule.percent))
+        & (_places_apart(rule) <= rule.most_apart)
     )
-    near = written(near, "near-pairs")
+
+
+def _confirmed(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], rule: MinHash) -> DataFrame:
+    """Of distinct candidate (a, b) those whose full shingle sets are similar enough. ``texts_of``: (class_id) to texts."""
+    near = written(pairs, "near-pairs")
     texts = texts_of(near.select(F.col("a").alias("class_id")).union(near.select("b")).distinct())
     both = near.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -164,8 +184,9 @@ def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str =
 
     Rows with equal shingle sets are one class, so copies never meet each other. Classes that share a key are first
     compared with the smallest and the largest class of the key only. What that leaves unlinked - classes of one key
-    in different components - is compared pair by pair, so no link between components is lost and no group that is
-    linked already is expanded. Every link is confirmed on whole shingle sets.
+    in different components - is compared inside the join, and pairs come out of it only if neither sizes nor sketches
+    rule them out: no link between components is lost, and no group that is linked already is expanded. Every link is
+    confirmed on whole shingle sets.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a text of fewer words than a shingle is
     one shingle. Defined cases: null or empty texts have no shingles and are linked with nothing; a null id counts as
@@ -178,12 +199,14 @@ def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str =
     signed = _signed(docs, rule)
     own = signed.filter("class_id IS NOT NULL").groupBy("class_id")
     classes = written(
-        own.agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(c).alias(c) for c in rule.signature_columns]),
+        own.agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(c).alias(c) for c in rule.columns]),
         "classes",
     )
     keys = written(_keyed(classes, rule), "keys")
+    # What is joined with a possibly hot key is written first: both sides are then plain exchanges, whose hot
+    # partitions adaptive execution splits.
     shared = keys.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi")
-    members = written(keys.join(shared, "key"), "members")
+    members = written(keys.join(written(shared, "shared-keys"), "key"), "members")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         places = wanted.join(classes.select("class_id", "least_id"), "class_id")
@@ -193,20 +216,30 @@ def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str =
         found = docs.alias("d").join(rows.alias("r"), (F.col("d.text_key") == F.col("r.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")))
         return written(found.select("r.class_id", "d.text").dropDuplicates(["class_id"]), "class-texts")
 
-    def pairs(x: Column, y: Column) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
     stars = members.select("class_id", F.explode(F.array("lo", "hi")).alias("centre")).filter("class_id <> centre")
-    links = _confirmed(stars.select(*pairs(F.col("class_id"), F.col("centre"))).distinct(), classes, texts_of, rule)
+    stars = stars.select(F.least("class_id", "centre").alias("a"), F.greatest("class_id", "centre").alias("b")).distinct()
+    near = stars.join(classes.alias("x"), F.col("a") == F.col("x.class_id")).join(
+        classes.alias("y"), (F.col("b") == F.col("y.class_id")) & _may_be_near(rule)
+    )
+    links = _confirmed(near.select("a", "b"), texts_of, rule)
     roots = written(components(links), "roots")
 
     placed = members.select("key", "class_id").join(roots, members["class_id"] == roots["node"], "left")
-    placed = placed.select("key", "class_id", F.coalesce("root", "class_id").alias("root"))
+    placed = written(placed.select("key", "class_id", F.coalesce("root", "class_id").alias("root")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    open_ = written(placed.join(mixed, "key"), "open-members")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    more = _confirmed(apart.select(*pairs(F.col("x.class_id"), F.col("y.class_id"))).distinct(), classes, texts_of, rule)
+    open_ = written(placed.join(written(mixed, "mixed-keys"), "key"), "open-members")
+    own_keys = open_.groupBy("class_id", "root").agg(F.collect_set("key").alias("keys"))  # a class has a fixed number
+    described = own_keys.join(classes.select("class_id", "n_shingles", *rule.columns), "class_id")
+    open_ = written(described.withColumn("key", F.explode("keys")), "open-classes")
+    apart = open_.alias("x").join(
+        open_.alias("y"),
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.root") < F.col("y.root"))
+        & _may_be_near(rule)
+        & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")),  # once a pair, not once a key
+    )
+    apart = apart.select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b"))
+    more = _confirmed(apart, texts_of, rule)
     roots = components(links.union(more))
 
     grouped = classes.join(roots, classes["class_id"] == roots["node"], "left").select(
