@@ -65,8 +65,8 @@ def _importance(spark, sf):
     frame = _frame(spark, sf)
     chosen = models.select_model(frame, grids={})
     recent = metrics.with_split(frame, 90).where("is_validation")
-    named = [name for name, _ in chosen.importance]
-    return presented(models.permutation_importance(recent, chosen.scorer, chosen.columns, named))
+    found = models.permutation_importance(recent, chosen.scorer, chosen.columns)
+    return presented(found.orderBy(F.desc("mae_increase"), "feature").limit(20))
 
 
 def _evaluation(spark, sf):

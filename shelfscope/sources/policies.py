@@ -20,6 +20,7 @@ POLICY_SCHEMA = (
     "policy_id string, severity string, policy_source string, window_days int, metric_type string, operator string, "
     "threshold double, pending_evaluations int, policy_rule string, description string"
 )
+MOST_DAYS = 3650
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ class Policy:
             (bool(self.policy_id), "id"),
             (self.severity in SEVERITIES, "severity"),
             (self.policy_source is None or self.policy_source in SOURCES, "source_name"),
-            (self.window_days >= 1, "window_days"),
+            (1 <= self.window_days <= MOST_DAYS, "window_days"),
             (self.metric_type in METRICS, "metric_type"),
             (self.operator in OPERATORS, "operator"),
             (self.pending_evaluations >= 1, "pending_evaluations"),
@@ -51,19 +52,26 @@ class Policy:
                 raise ValueError(f"alert policy {self.policy_id!r}: bad {what}")
 
 
+def _threshold(payload: dict) -> float:
+    try:
+        return float(payload.get("threshold"))
+    except (TypeError, ValueError):
+        raise ValueError(f"alert policy {payload.get('id')!r}: threshold must be a number") from None
+
+
 def parse_policy(payload: dict) -> Policy:
     source = payload.get("source_name")
     return Policy(
         str(payload.get("id") or "").strip(),
-        str(payload.get("severity") or "").strip().upper(),
+        str(payload.get("severity") or "MEDIUM").strip().upper(),
         str(source).strip().lower() if source else None,
         int(payload.get("window_days", 7)),
-        str(payload.get("metric_type") or "").strip(),
+        str(payload.get("metric_type") or "").strip().lower(),
         str(payload.get("operator") or "").strip(),
-        float(payload.get("threshold", 0)),
+        _threshold(payload),
         int(payload.get("pending_evaluations", 1)),
         payload.get("rule_id"),
-        str(payload.get("description") or ""),
+        str(payload.get("description") or "").strip() or str(payload.get("id") or "").strip(),
         bool(payload.get("enabled", True)),
     )
 

@@ -60,8 +60,9 @@ def _for_window(runs: DataFrame, ticks: DataFrame, policies: list[Policy], days:
         F.col("used_unified").cast("int").alias("unified"),
         F.coalesce("failed_rules", F.array().cast("array<string>")).alias("failed_rules"),
     )
+    scopes = sorted({p.policy_source or "*" for p in policies})
     clock = ticks.select(
-        F.explode(F.array(F.lit("*"), F.lit("train"), F.lit("store"))).alias("scope"),
+        F.explode(F.array(*[F.lit(name) for name in scopes])).alias("scope"),
         "created_at",
         *[F.lit(0).alias(c) for c in ("n", "fails", "blocked", "unified")],
         F.array().cast("array<string>").alias("failed_rules"),

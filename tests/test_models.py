@@ -293,3 +293,14 @@ def test_intent_model(spark):
     out = intents.resolved_intents(intents.predicted_intents(asked, model, labels), threshold=0.6).collect()
     assert out[0]["intent"] == "sales" and out[0]["confidence"] >= 0.6
     assert out[1]["intent"] == "help" and out[1]["confidence"] is None
+
+
+def test_importance_does_not_depend_on_batches(spark, frame):
+    scorer = LinearScorer(["promo", "open"], np.array([2.0, 1.0]), 5.0, log_target=False)
+    found = []
+    for limit, parts in (("10000", 2), ("7", 5)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+        rows = models.permutation_importance(frame.repartition(parts), scorer, ["promo", "open"]).collect()
+        found.append({r["feature"]: round(r["mae_increase"], 6) for r in rows})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and set(found[0]) == {"promo", "open"}
