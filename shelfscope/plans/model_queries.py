@@ -99,7 +99,11 @@ def _slots(spark, sf):
 
 def _answers(spark, sf):
     fact = tables.fact_sales(spark, sf)
-    rows = tables.messages(spark, sf).withColumns({"predicted_intent": F.lit(None).cast("string"), "confidence": F.lit(0.1)})
+    # A stand-in for the model: sure of every third turn, unsure of the others, which go to the keywords.
+    sure = F.col("turn") % 3 == 1
+    rows = tables.messages(spark, sf).withColumns(
+        {"predicted_intent": F.when(sure, "promo_impact"), "confidence": F.when(sure, 0.9).otherwise(0.1)}
+    )
     rows = intents.with_slots(intents.resolved_intents(rows), fact.agg(F.max("full_date").alias("latest")))
     out = intents.answered(rows, fact, tables.dim_store(spark, sf))
     return presented(out.select(
@@ -121,7 +125,8 @@ def _intent_documents(spark, sf):
 
 def _grams(spark, sf):
     rows = tables.messages(spark, sf)
-    return presented(rows.select("conv_id", "turn", F.size(intents.word_grams(F.col("message"))).alias("num_grams")))
+    grams = F.array_sort(intents.word_grams(F.col("message")))
+    return presented(rows.select("conv_id", "turn", F.size(grams).alias("num_grams"), F.md5(F.array_join(grams, "|")).alias("grams_md5")))
 
 
 # The keyword lists and patterns once more, for the SQL counterparts.
@@ -159,7 +164,7 @@ SLOTS = f"""slot AS (
     rng AS (SELECT *, CASE WHEN len(ds) >= 2 THEN greatest(TRY_CAST(ds[1] AS DATE), TRY_CAST(ds[2] AS DATE))
                            WHEN len(ds) = 1 THEN TRY_CAST(ds[1] AS DATE) ELSE latest END AS d2 FROM slot),
     slots AS (SELECT *, CASE WHEN len(ds) >= 2 THEN least(TRY_CAST(ds[1] AS DATE), TRY_CAST(ds[2] AS DATE))
-                             ELSE d2 - 29 END AS d1, {INTENT} AS intent FROM rng)"""
+                             ELSE d2 - 29 END AS d1, CASE WHEN turn % 3 = 1 THEN 'promo_impact' ELSE {INTENT} END AS intent FROM rng)"""
 SWAPS = [("forecast", "predict"), ("forecast", "projection"), ("predict", "forecast"), ("sales", "revenue"),
          ("store", "branch"), ("promo", "promotion"), ("model", "algorithm"), ("summary", "overview"), ("data", "dataset")]
 VARIANTS = ", ".join(
@@ -193,12 +198,15 @@ QUERIES = [
         SELECT trim(t) AS text, 'turn_' || turn AS label
         FROM (SELECT turn, unnest([' ' || message, '  ', lower(message)]) AS t FROM messages) WHERE trim(t) <> ''""")),
     Query("intent_grams", "M-18", _grams, oracle("messages", """
-        WITH w AS (SELECT conv_id, turn, length(x) + 2 AS n FROM (
+        WITH w AS (SELECT conv_id, turn, ' ' || x || ' ' AS p FROM (
                      SELECT conv_id, turn, unnest(regexp_split_to_array(lower(message), '\\s+')) AS x FROM messages)
                    WHERE x <> ''),
-        s AS (SELECT conv_id, turn, CAST(SUM(greatest(n - 2, 1) + CASE WHEN n > 3 THEN n - 3 ELSE 0 END
-                     + CASE WHEN n > 4 THEN n - 4 ELSE 0 END) AS BIGINT) AS c FROM w GROUP BY 1, 2)
-        SELECT m.conv_id, m.turn, COALESCE(c, 0) AS num_grams
+        g AS (SELECT conv_id, turn, unnest(list_concat(
+                list_transform(range(1, greatest(length(p) - 2, 1) + 1), lambda i: substr(p, i, 3)),
+                list_transform(range(1, length(p) - 2), lambda i: substr(p, i, 4)),
+                list_transform(range(1, length(p) - 3), lambda i: substr(p, i, 5)))) AS gram FROM w),
+        s AS (SELECT conv_id, turn, COUNT(*) AS c, string_agg(gram, '|' ORDER BY gram) AS grams FROM g GROUP BY 1, 2)
+        SELECT m.conv_id, m.turn, COALESCE(c, 0) AS num_grams, md5(COALESCE(grams, '')) AS grams_md5
         FROM messages m LEFT JOIN s ON s.conv_id = m.conv_id AND s.turn = m.turn""")),
     Query("intent_model", "M-18", _intent_model),
     Query("intent_answers", "M-19", _answers, oracle("fact dim_store messages", f"""WITH {SLOTS},
