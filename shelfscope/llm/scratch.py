@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="llm-scratch-")
     spark.sparkContext.setCheckpointDir(folder)
