@@ -116,8 +116,7 @@ def fuzzy_lines(rows, apart=2, percent=80):
     for k, a in enumerate(names):
         for m, b in enumerate(names[:k]):
             if (marks[k] ^ marks[m]).bit_count() <= apart:
-                x, y = " ".join(a), " ".join(b)
-                if edit_distance(x, y) <= max(len(x), len(y)) * (100 - percent) // 100:
+                if edit_distance(a, b) <= max(len(a), len(b)) * (100 - percent) // 100:
                     groups.link(k, m)
     place, seen, out = {w: i for i, w in enumerate(names)}, set(), []
     for lines in split:
