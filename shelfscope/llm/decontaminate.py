@@ -101,30 +101,30 @@ def build_index(docs: DataFrame, only: DataFrame | None = None, id_col: str = "d
     return written(rows.mapInArrow(run, f"segment long, term long, n long, places binary, ids array<{id_type}>"), "postings")
 
 
-def _starts(terms: np.ndarray, lists: dict[int, np.ndarray], sizes: dict[int, int], slop: int) -> np.ndarray:
-    """Places at which the terms occur in order, each at most ``slop`` words later than in the phrase."""
+def _matches(terms: np.ndarray, lists: dict[int, np.ndarray], sizes: dict[int, int], slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the terms in order with at most ``slop`` other words among them; the nearest end of each start."""
+    if slop:  # a start is a place of the first term; taking the next place of each further term gives the least end
+        starts = lists[terms[0]]
+        last = starts
+        for term in terms[1:]:
+            places = lists[term]
+            at = np.searchsorted(places, last, "right")
+            ok = at < len(places)
+            starts, last = starts[ok], places[at[ok]]
+            near = last - starts <= len(terms) - 1 + slop
+            starts, last = starts[near], last[near]
+        return starts, last + 1
     starts = None
     for j in sorted(range(len(terms)), key=lambda j: sizes[terms[j]]):
         places = lists[terms[j]]
         if starts is None:
-            low = places - j
-            starts = low if not slop else np.unique((low[:, None] - np.arange(slop + 1)).ravel())
+            starts = places - j
             continue
         at = np.searchsorted(places, starts + j)
-        nearest = places[np.minimum(at, len(places) - 1)]
-        starts = starts[(at < len(places)) & (nearest <= starts + j + slop)]
+        starts = starts[(at < len(places)) & (places[np.minimum(at, len(places) - 1)] == starts + j)]
         if not len(starts):
             break
-    if slop and len(starts):  # terms must follow one another, so walk through them in order once more
-        end = starts - 1
-        for term in terms:
-            places = lists[term]
-            at = np.searchsorted(places, end + 1)
-            ok = at < len(places)
-            starts, end = starts[ok], places[at[ok]]
-        span = end - starts
-        starts = starts[span <= len(terms) - 1 + slop]
-    return starts
+    return starts, starts + len(terms)
 
 
 def find_windows(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
@@ -160,16 +160,15 @@ def find_windows(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFra
         for item, terms in zip(asked_of["item"], asked_of["terms"], strict=True):
             if not all(t in lists for t in terms):
                 continue
-            starts = _starts(terms, lists, sizes, slop)
-            for owner, start in zip(np.searchsorted(begins, starts, "right") - 1, starts, strict=True):
+            starts, ends = _matches(terms, lists, sizes, slop)
+            for owner, start, end in zip(np.searchsorted(begins, starts, "right") - 1, starts, ends, strict=True):
                 items[owner].add(item)
-                start = int(start - begins[owner])
-                hits[owner][start] = max(hits[owner].get(start, 0), start + len(terms) + slop)
+                start, end = int(start - begins[owner]), int(end - begins[owner])
+                hits[owner][start] = max(hits[owner].get(start, 0), end)
         spans, n_hit = [], []
-        for own, n in zip(hits, counts, strict=True):
+        for own in hits:
             merged: list[list[int]] = []
             for start, end in sorted(own.items()):
-                end = min(end, int(n))
                 if merged and start <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], end)
                 else:
