@@ -29,7 +29,7 @@ def _one_hot(spark, sf):
 
 
 def _selection(spark, sf):
-    chosen = models.select_model(_frame(spark, sf), grids=models.SMOKE_GRIDS)
+    chosen = models.select_model(_frame(spark, sf))
     rows = [
         (name, name == chosen.best, *[float(m[k]) for k in ("mae", "rmse", "mape", "smape", "wape", "composite", "residual_std")])
         for name, m in chosen.metrics.items()
@@ -39,12 +39,12 @@ def _selection(spark, sf):
         "composite double, residual_std double")
 
 
-def _ridge(spark, sf):
-    return models.select_model(_frame(spark, sf), grids={})
+def _chosen(spark, sf):
+    return models.select_model(_frame(spark, sf))
 
 
 def _model_forecast(spark, sf):
-    chosen = _ridge(spark, sf)
+    chosen = _chosen(spark, sf)
     inputs = forecast.forecast_inputs(tables.fact_sales(spark, sf), tables.dim_store(spark, sf))
     band = forecast.Band(chosen.residual_std, chosen.floor, chosen.cap)
     rows = forecast.recursive_forecast(
@@ -53,7 +53,7 @@ def _model_forecast(spark, sf):
 
 
 def _model_scenario(spark, sf):
-    chosen = _ridge(spark, sf)
+    chosen = _chosen(spark, sf)
     band = forecast.Band(chosen.residual_std, chosen.floor, chosen.cap)
     points = forecast.run_scenario(
         tables.fact_sales(spark, sf), tables.dim_store(spark, sf), chosen.scorer, band, 30,
@@ -63,7 +63,7 @@ def _model_scenario(spark, sf):
 
 def _importance(spark, sf):
     frame = _frame(spark, sf)
-    chosen = models.select_model(frame, grids={})
+    chosen = models.select_model(frame)
     recent = metrics.with_split(frame, 90).where("is_validation")
     found = models.permutation_importance(recent, chosen.scorer, chosen.columns)
     return presented(found.orderBy(F.desc("mae_increase"), "feature").limit(20))
@@ -72,7 +72,7 @@ def _importance(spark, sf):
 def _evaluation(spark, sf):
     """The trained model in its saved form, evaluated on the last days, overall and by store type."""
     frame = _frame(spark, sf)
-    artifact = models.Artifact.of(models.select_model(frame, grids={}))
+    artifact = models.Artifact.of(models.select_model(frame))
     return presented(models.evaluate_saved(frame, artifact, 90))
 
 
@@ -87,7 +87,7 @@ def _labelled(spark, sf):
 
 def _intent_model(spark, sf):
     rows = _labelled(spark, sf)
-    model, labels = intents.train_intents(rows, max_iter=30)
+    model, labels = intents.train_intents(rows)
     return presented(intents.intent_accuracy(rows, model, labels))
 
 
