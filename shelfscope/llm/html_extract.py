@@ -46,8 +46,12 @@ BAD_NAMES = frozenset(
     "share sharing social follow related recommended recommendations trending popular more-links tags tagcloud "
     "search searchbox form skip hidden legal disclaimer paywall".split()
 )
+# "has-sidebar" says what stands beside; "entry-header" is the head of the entry.
+BESIDE = frozenset("has with without no is not".split())
+OWN_HEADS = frozenset("header head heading title footer meta".split())
 GOOD_NAMES = frozenset("article content post entry story main body text prose".split())
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
 
@@ -56,6 +60,8 @@ class Costs:
     """Weights of the classifier and of the smoothness edges, in the same integer unit."""
 
     bad_container: int = 60
+    bad_name: int = 48
+    doubtful_name: int = 16
     good_container: int = 24
     good_name: int = 6
     heading: int = 4
@@ -82,9 +88,11 @@ class Block:
 
 @dataclass(frozen=True)
 class Place:
-    """Sum over the ancestors: inside boilerplate, the article, a header, a link, something unseen."""
+    """Sum over the ancestors: inside boilerplate, by tag or role or by name (1 doubtful, 2 plain), the article, a header, a link,
+    something unseen."""
 
     bad: bool = False
+    named: int = 0
     article: bool = False
     good_name: bool = False
     header: bool = False
@@ -92,29 +100,49 @@ class Place:
     unseen: bool = False
 
 
-def _names(attrs: str) -> tuple[set[str], str, bool]:
-    """Lower-case name parts of class and id, the role, and whether the element is marked as hidden."""
+def _names(attrs: str, with_id: bool) -> tuple[set[str], int, str, bool]:
+    """Lower-case name parts of class and id, how bad the names are (0 to 2), the role, and whether the element is hidden."""
     names: set[str] = set()
-    role, hidden = "", bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+    named, role, hidden = 0, "", bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
     for key, *values in ATTRIBUTE.findall(attrs):
         value, key = "".join(values), key.lower()
         if key in ("class", "id"):
-            names.update(p.lower() for p in NAME_PARTS.findall(unescape(value)))
+            for token in unescape(value).split():
+                parts = [p.lower() for p in NAME_PARTS.findall(token)]
+                names.update(parts)
+                if key == "class" or with_id:
+                    named = max(named, _badness(token.lower(), parts))
         elif key == "role":
             role = value.strip().lower()
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif key == "aria-hidden":
             hidden |= value.lower() == "true"
-    return names, role, hidden
+    return names, named, role, hidden
+
+
+def _badness(token: str, parts: list[str]) -> int:
+    """2 for a name of boilerplate, whole or as the last part (``site-footer``), 1 for one with such a part elsewhere."""
+    if token in BAD_NAMES:
+        return 2
+    bad = [p in BAD_NAMES for p in parts]
+    if not any(bad) or parts[0] in BESIDE or parts[0] in GOOD_NAMES and parts[-1] in OWN_HEADS:
+        return 0
+    return 2 if bad[-1] else 1
 
 
 def _place(tag: str, attrs: str, outer: Place) -> Place:
-    names, role, hidden = _names(attrs) if attrs and ("=" in attrs or "hidden" in attrs) else (set(), "", False)
-    sound = tag not in ("body", "html", "article", "main")  # theme names of the page's frame say nothing
+    in_article = outer.article and tag in ("section", *HEADINGS)  # their ids name a topic
+    given = attrs and ("=" in attrs or "hidden" in attrs)
+    names, named, role, hidden = _names(attrs, not in_article) if given else (set(), 0, "", False)
+    is_main, is_article = tag == "main" or role == "main", tag == "article" or role == "article"
+    if tag in ("body", "html") or is_main or is_article:  # theme names of the page's frame say nothing
+        named = 0
+    outer_named = 0 if is_main or is_article and outer.named == 1 else outer.named
     return Place(
-        bad=outer.bad or tag in BAD_TAGS or role in BAD_ROLES or sound and not names.isdisjoint(BAD_NAMES),
-        article=outer.article or tag in ("article", "main") or role in ("main", "article"),
+        bad=(outer.bad and not is_main) or tag in BAD_TAGS or role in BAD_ROLES,
+        named=max(outer_named, named),
+        article=outer.article or is_main or is_article,
         good_name=outer.good_name or not names.isdisjoint(GOOD_NAMES),
         header=outer.header or tag == "header",
         linked=outer.linked or tag == "a",
@@ -209,6 +237,8 @@ def terminal_costs(block: Block, costs: Costs, page_has_article: bool) -> tuple[
     place, keep, drop = block.place, 1, 0
     if place.bad:
         drop += costs.bad_container
+    elif place.named:
+        drop += costs.bad_name if place.named > 1 else costs.doubtful_name
     if place.article and not place.bad:
         keep += costs.good_container
     elif page_has_article:
@@ -292,7 +322,12 @@ def minimum_cut(terminals: list[tuple[int, int]], edges: list[tuple[int, int, in
 
 def main_blocks(html: str, costs: Costs) -> list[Block]:
     blocks = blocks_of(html)
-    has_article = any(b.place.article and not b.place.bad for b in blocks)
+    # An article is the page's only if it holds most of the running text: a teaser can be one beside the text.
+    said = [0, 0]
+    for b in blocks:
+        if not b.place.bad and b.place.named < 2 and not b.place.header and SENTENCE_END.search(b.text):
+            said[b.place.article] += max(0, len(b.text) - b.linked)
+    has_article = said[1] >= said[0] and any(b.place.article and not b.place.bad for b in blocks)
     edges, last_in = [], {}
     for i, block in enumerate(blocks):
         if i:
