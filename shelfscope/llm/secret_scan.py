@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -28,17 +30,25 @@ IDENTIFIERS = (
 )
 SENSITIVE = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|signature|cookie|session|login|account", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# A value of any characters: quoted, or all that follows ":" or "=" up to a space.
+VALUE = re.compile(r"""(?:"([^"\n]{8,})"|'([^'\n]{8,})'|(?<![^\s"'\w])[\w.-]+["']?[\x20\t]*[:=][\x20\t]*([^\s"'][^\s"',;]{7,}))""", re.A)
+BLOCK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]+-----")
+ALPHABETS = ("0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ")
 
 
 @dataclass(frozen=True)
 class Novelty:
-    """``context``: characters on each side that prime the compressor. ``before``: how far back on the line a
-    sensitive word may stand. ``least_bytes`` and ``least_share``: marginal compressed bytes, in all and by length."""
+    """``context``: characters on each side that prime the compressor. ``lines``: lines before its own on which a sensitive
+    word may stand if it has its line to itself, ``before``: characters of each of them that are looked at; a BEGIN line counts up to its END line.
+    ``least_bytes``: marginal compressed bytes of a candidate, ``short_bytes`` of a value of mixed characters.
+    ``least_share``: marginal bytes as a share of those that as many random characters of the same alphabet take."""
 
     context: int = 400
-    before: int = 40
+    before: int = 200
+    lines: int = 2
     least_bytes: int = 14
-    least_share: float = 0.7
+    short_bytes: int = 7
+    least_share: float = 0.75
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -62,24 +72,88 @@ def marginal_bytes(candidate: str, around: str) -> int:
     """Compressed bytes that the candidate adds to its line end, given the names and the code around it."""
     primer = (IDENTIFIERS + " " + around).encode("utf-8", "replace")
     lead = around[-16:].encode("utf-8", "replace")
-    return _size(lead + candidate.encode(), primer) - _size(lead, primer)
+    return _size(lead + candidate.encode("utf-8", "replace"), primer) - _size(lead, primer)
+
+
+@lru_cache(maxsize=4096)
+def _random_bytes(alphabet: str, length: int) -> int:
+    return marginal_bytes("".join(random.Random(length).choices(alphabet, k=length)), " ")
+
+
+def random_bytes(word: str) -> int:
+    """Marginal bytes of a random string that is as long as ``word`` and of the same kinds of characters."""
+    kinds = set(word)
+    classes = [chars for chars in ALPHABETS if not kinds.isdisjoint(chars)]
+    return _random_bytes("".join([*classes, *sorted(c for c in kinds if not (c.isascii() and c.isalnum()))]), len(word))
+
+
+def _kinds(word: str) -> int:
+    return any(map(str.isdigit, word)) + any(map(str.islower, word)) + any(map(str.isupper, word)) + any(not c.isalnum() for c in word)
+
+
+def _candidates(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a value of mixed characters) of the strings to be scored, by start."""
+    values = []
+    for m in VALUE.finditer(text):
+        start, end = m.span(m.lastindex)
+        word = text[start:end]
+        if _kinds(word) >= 3 and not any(map(str.isspace, word)) and not CANDIDATE.fullmatch(word):
+            values.append((start, end, True))
+    taken = iter(values)
+    value = next(taken, None)
+    for m in CANDIDATE.finditer(text):
+        while value and value[1] <= m.start():
+            yield value
+            value = next(taken, None)
+        if not value or m.end() <= value[0]:
+            yield (*m.span(), False)
+        elif not (value[0] <= m.start() and m.end() <= value[1]):
+            yield (*m.span(), False)
+            value = next(taken, None)
+    if value:
+        yield value
+        yield from taken
+
+
+def _is_sensitive(text: str, start: int, blocks: list[tuple[int, int]], rules: Novelty) -> bool:
+    if any(a <= start < b for a, b in blocks):
+        return True
+    stop = start
+    for _ in range(rules.lines + 1):
+        begin = max(text.rfind("\n", 0, stop) + 1, stop - rules.before)
+        if SENSITIVE.search(text, begin, stop):
+            return True
+        if stop == start and any(map(str.isalnum, text[begin:stop])):
+            return False
+        stop = text.rfind("\n", 0, stop)
+        if stop < 0:
+            return False
+    return False
 
 
 def novel_spans(text: str, rules: Novelty) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of long strings with a sensitive word shortly before them that the primer doesn't predict."""
+    """(start, kind, end) of strings in sensitive context that the primer doesn't predict."""
     found = []
-    if not SENSITIVE.search(text):
+    if not SENSITIVE.search(text) and "-----BEGIN " not in text:
         return found
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        word = m.group()
-        if len(set(word)) < 8 or not (any(c.isdigit() for c in word) or word.lower() != word and word[1:].lower() != word[1:]):
+    marks = [(m.start(), m.end(), m[1]) for m in BLOCK.finditer(text)]
+    blocks = [
+        (m[1], following[0])
+        for m, following in zip(marks, [*marks[1:], (len(text), len(text), "END")], strict=False)
+        if m[2] == "BEGIN" and SENSITIVE.search(text[m[0] : m[1]])
+    ]
+    for start, end, mixed in _candidates(text):
+        word = text[start:end]
+        if mixed:
+            if len(set(word)) < 6:
+                continue
+        elif len(set(word)) < 8 or not (any(c.isdigit() for c in word) or word.lower() != word and word[1:].lower() != word[1:]):
             continue
-        lead = text[max(0, start - rules.before) : start].rpartition("\n")[2]
-        if not SENSITIVE.search(lead):
+        if not _is_sensitive(text, start, blocks, rules):
             continue
         around = text[end : end + rules.context] + " " + text[max(0, start - rules.context) : start]
-        if (extra := marginal_bytes(word, around)) >= rules.least_bytes and extra >= rules.least_share * len(word):
+        least = max(rules.short_bytes if mixed else rules.least_bytes, rules.least_share * random_bytes(word))
+        if marginal_bytes(word, around) >= least:
             found.append((start, len(BASE), end))
     return found
 
