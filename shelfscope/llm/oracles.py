@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfscope.llm.license_scan import PHRASE_BIT, LicenseIndex, _places, plain_words
 from shelfscope.llm.quality_rules import LineRules
 
 _RULES = LineRules()
@@ -82,4 +83,101 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": DECONTAMINATION, "op6_quality_rules": _quality()}
+
+
+def _rows(rows: list[tuple]) -> str:
+    cell = lambda v: _text(v) if isinstance(v, str) else "NULL" if v is None else str(v)
+    return ", ".join("(" + ", ".join(map(cell, row)) + ")" for row in rows)
+
+
+def _licenses(index: LicenseIndex | None = None) -> str:
+    index = index or LicenseIndex()
+    notices = [(i, place, w) for i, t in enumerate(index.templates) for place, w in enumerate(plain_words(t.text))]
+    runs, seats = [], []
+    phrases = list(dict.fromkeys([p for t in index.templates for p in t.phrases] + list(index.base)))
+    for number, phrase in enumerate(phrases):
+        words = plain_words(phrase)
+        runs += [(number, place, w, len(words)) for place, w in enumerate(words)]
+        for i, t in enumerate(index.templates):
+            if phrase in t.phrases:
+                seats += [(number, i, place, PHRASE_BIT + t.phrases.index(phrase)) for place in _places(words, plain_words(t.text))]
+    base = [(phrases.index(p), label) for p, label in index.base.items()]
+    told = [(i, t.label, len(t.phrases)) for i, t in enumerate(index.templates)]
+    return rf"""
+WITH notice(template, place, word) AS (VALUES {_rows(notices)}),
+run(phrase, place, word, n) AS (VALUES {_rows(runs)}),
+seat(phrase, template, seat, bit) AS (VALUES {_rows(seats)}),
+base(phrase, label) AS (VALUES {_rows(base)}),
+told(template, label, n_phrases) AS (VALUES {_rows(told)}),
+doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}') AS w FROM documents
+), word AS (
+  SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM doc
+), frequency AS (
+  SELECT word, count(DISTINCT rid) AS df FROM word GROUP BY word
+), ranked AS (
+  SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY coalesce(df, 0), word) - 1 AS bit, count(*) OVER (PARTITION BY template) AS n_distinct
+  FROM (SELECT DISTINCT template, word FROM notice) LEFT JOIN frequency USING (word)
+), rare AS (
+  SELECT template, word, bit FROM ranked WHERE bit < greatest(1, least({index.rare}, n_distinct // 2))
+), agreed AS (
+  SELECT rid, phrase, pos - place AS start FROM word JOIN run USING (word) GROUP BY rid, phrase, n, pos - place HAVING count(*) = n
+), based AS (
+  SELECT rid, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS base_labels
+  FROM agreed JOIN base USING (phrase) GROUP BY rid
+), near AS (
+  SELECT rid, template, pos - place AS start, bit FROM word JOIN rare USING (word) JOIN notice USING (template, word)
+  UNION ALL SELECT rid, template, start - seat, bit FROM agreed JOIN seat USING (phrase)
+), finds AS (
+  SELECT rid, template, count(DISTINCT bit) FILTER (bit < {PHRASE_BIT}) AS agree, count(DISTINCT bit) FILTER (bit >= {PHRASE_BIT}) AS n_found
+  FROM (SELECT *, unnest([0, {index.width // 2}]) AS shift FROM near)
+  GROUP BY rid, template, shift, floor((start + shift) / {index.width})
+), verified AS (
+  SELECT rid, label, agree / n_rare AS share FROM finds JOIN told USING (template)
+  JOIN (SELECT template, count(*) AS n_rare FROM rare GROUP BY template) USING (template)
+  WHERE n_found = n_phrases AND agree * 100 >= n_rare * {index.need_percent}
+), found AS (
+  SELECT rid, list(DISTINCT label) AS labels, max(share) AS score FROM verified GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       array_to_string(coalesce(base_labels, []::VARCHAR[]), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []::VARCHAR[]), coalesce(labels, []::VARCHAR[])))), ',') AS labels,
+       coalesce(score, 0)::DOUBLE AS score
+FROM doc LEFT JOIN based USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
+# crc32 bit by bit: a list of the bytes, each followed by eight marks for a shift.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, len({0}) + 1), lambda i: [ascii({0}[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, op: CASE WHEN op >= 0 THEN xor(crc, op) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH own AS (
+  SELECT conv_id, {_CRC32.format("(conv_id::VARCHAR)")} % 9 AS h,
+         list({{'id': md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'size': strlen(coalesce(text, ''))}}
+              ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(list_slice(b.turns, 1, c.h), []), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+  FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+), path AS (
+  SELECT conv_id, list_transform(turns, lambda t: t.id) AS ids, list_transform(turns, lambda t: t.size) AS sizes, unnest(range(len(turns) + 1)) AS depth FROM rebuilt
+), node AS (
+  SELECT depth, list_slice(ids, 1, depth) AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(any_value(sizes[depth]), 0) AS size, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ids) = depth) AS ends
+  FROM path GROUP BY depth, list_slice(ids, 1, depth)
+), child AS (
+  SELECT depth - 1 AS depth, list_slice(prefix, 1, depth - 1) AS prefix, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN child USING (depth, prefix)
+), below AS (
+  SELECT up AS depth, list_slice(prefix, 1, up) AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM counted) GROUP BY up, list_slice(prefix, 1, up)
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM counted n JOIN below b USING (depth, prefix) LEFT JOIN node p ON p.depth = n.depth - 1 AND p.prefix = list_slice(n.prefix, 1, n.depth - 1)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": DECONTAMINATION, "op6_quality_rules": _quality(), "op11_license_scan": _licenses(), "op12_prefix_trie": PREFIX_TRIE,
+}

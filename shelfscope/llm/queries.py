@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import bpe, chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_rules, secret_scan, sharding, suffix_dedup
+from shelfscope.llm import (
+    bpe, chat_format, decontaminate, html_extract, license_scan, line_dedup, near_dedup, prefix_trie, quality_rules, secret_scan, sharding,
+    suffix_dedup, whitening,
+)
 from shelfscope.llm.oracles import ORACLES
 
 
@@ -96,8 +99,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = prefix_trie.branched_sequences(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(sequences).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(
+        F.col("row.vec_id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extract, op2_decontaminate, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op8_suffix_dedup, op9_line_dedup, op10_bpe)
+    for f in (op1_html_extract, op2_decontaminate, op3_near_dedup, op4_secret_scan, op5_chat_format, op6_quality_rules, op7_sharding, op8_suffix_dedup, op9_line_dedup, op10_bpe,
+              op11_license_scan, op12_prefix_trie, op13_whitening)
 }
 SQL = ORACLES

@@ -188,7 +188,7 @@ def test_line_plan_has_no_python(spark, sf):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, sf, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     theirs = db.execute(SQL[name])
     columns = sorted(c[0] for c in theirs.description)
