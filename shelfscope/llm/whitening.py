@@ -29,7 +29,7 @@ class Whitening:
     """
 
     components: int = 32
-    guard: int = 8
+    guard: int = 16
     degree: int = 10
     tolerance: float = 2e-14
     rounds: int = 60

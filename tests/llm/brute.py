@@ -7,8 +7,9 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import regex
-import xxhash
 
 
 def lowered(text):
@@ -93,31 +94,41 @@ def line_words(line):
     return tuple(w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w)
 
 
-def simhash(words):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(words))
-
-
-def edit_distance(a, b):
+def edit_distance(a, b, most=None):
+    """Edits between two strings; any number above ``most`` where there are more."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
         row = new
+        if most is not None and min(row) > most:
+            return most + 1
     return row[-1]
 
 
-def fuzzy_lines(rows, apart=2, percent=80):
-    """Per (id, text) row in order of id: the lines that stay."""
+def _with(pairs):
+    db = duckdb.connect()
+    db.register("pairs", pairs)
+    return db
+
+
+def fuzzy_lines(rows, percent=80):
+    """Per (id, text) row in order of id: the lines that stay. Every pair of lines is compared, by characters."""
     split = [[(line, line_words(line)) for line in (t or "").split("\n")] for _, t in rows]
     names = sorted({w for lines in split for _, w in lines if w})
-    groups, marks = Groups(), [simhash(w) for w in names]
-    for k, a in enumerate(names):
-        for m, b in enumerate(names[:k]):
-            if (marks[k] ^ marks[m]).bit_count() <= apart:
-                if edit_distance(a, b) <= max(len(a), len(b)) * (100 - percent) // 100:
-                    groups.link(k, m)
+    plain = [" ".join(w) for w in names]
+    runs = [Counter(zip(p, p[1:], strict=False)) for p in plain]
+    groups, near = Groups(), []
+    for k, a in enumerate(plain):
+        for m, b in enumerate(plain[:k]):
+            most = max(len(a), len(b)) * (100 - percent) // 100
+            # An edit changes two runs of two characters into two others at most.
+            if abs(len(a) - len(b)) <= most and len(a) + len(b) - 2 - 2 * (runs[k] & runs[m]).total() <= 4 * most:
+                near.append((k, m, a, b, most))
+    pairs = pd.DataFrame(near, columns=["k", "m", "a", "b", "most"])
+    for k, m in duckdb.sql("SELECT k, m FROM pairs WHERE levenshtein(a, b) <= most", connection=_with(pairs)).fetchall():
+        groups.link(k, m)
     place, seen, out = {w: i for i, w in enumerate(names)}, set(), []
     for lines in split:
         kept = []
