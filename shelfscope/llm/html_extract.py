@@ -49,6 +49,10 @@ BAD_NAMES = frozenset(
 # "has-sidebar" says what stands beside; "entry-header" is the head of the entry.
 BESIDE = frozenset("has with without no is not".split())
 OWN_HEADS = frozenset("header head heading title footer meta".split())
+# Readers' comments, wherever they stand; "comments-closed" and the like only say something about them.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus respond".split())
+COMMENT_STATES = frozenset("open closed off on enabled disabled".split())
+ABOUT_COMMENTS = COMMENT_STATES | frozenset("count counter link icon".split())
 GOOD_NAMES = frozenset("article content post entry story main body text prose".split())
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -100,16 +104,18 @@ class Place:
     unseen: bool = False
 
 
-def _names(attrs: str, with_id: bool) -> tuple[set[str], int, str, bool]:
-    """Lower-case name parts of class and id, how bad the names are (0 to 2), the role, and whether the element is hidden."""
+def _names(attrs: str, with_id: bool) -> tuple[set[str], int, bool, str, bool]:
+    """Lower-case name parts of class and id, how bad the names are (0 to 2), whether they name readers' comments, the role,
+    and whether the element is hidden."""
     names: set[str] = set()
-    named, role, hidden = 0, "", bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+    named, comments, role, hidden = 0, False, "", bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
     for key, *values in ATTRIBUTE.findall(attrs):
         value, key = "".join(values), key.lower()
         if key in ("class", "id"):
             for token in unescape(value).split():
                 parts = [p.lower() for p in NAME_PARTS.findall(token)]
                 names.update(parts)
+                comments |= _of_comments(parts)
                 if key == "class" or with_id:
                     named = max(named, _badness(token.lower(), parts))
         elif key == "role":
@@ -118,7 +124,11 @@ def _names(attrs: str, with_id: bool) -> tuple[set[str], int, str, bool]:
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif key == "aria-hidden":
             hidden |= value.lower() == "true"
-    return names, named, role, hidden
+    return names, named, comments, role, hidden
+
+
+def _of_comments(parts: list[str]) -> bool:
+    return not COMMENT_NAMES.isdisjoint(parts) and parts[0] not in BESIDE and ABOUT_COMMENTS.isdisjoint(parts)
 
 
 def _badness(token: str, parts: list[str]) -> int:
@@ -126,6 +136,8 @@ def _badness(token: str, parts: list[str]) -> int:
     if token in BAD_NAMES:
         return 2
     bad = [p in BAD_NAMES for p in parts]
+    if parts and parts[-1] in COMMENT_STATES and not COMMENT_NAMES.isdisjoint(parts):
+        return 0
     if not any(bad) or parts[0] in BESIDE or parts[0] in GOOD_NAMES and parts[-1] in OWN_HEADS:
         return 0
     return 2 if bad[-1] else 1
@@ -134,13 +146,13 @@ def _badness(token: str, parts: list[str]) -> int:
 def _place(tag: str, attrs: str, outer: Place) -> Place:
     in_article = outer.article and tag in ("section", *HEADINGS)  # their ids name a topic
     given = attrs and ("=" in attrs or "hidden" in attrs)
-    names, named, role, hidden = _names(attrs, not in_article) if given else (set(), 0, "", False)
+    names, named, comments, role, hidden = _names(attrs, not in_article) if given else (set(), 0, False, "", False)
     is_main, is_article = tag == "main" or role == "main", tag == "article" or role == "article"
     if tag in ("body", "html") or is_main or is_article:  # theme names of the page's frame say nothing
-        named = 0
+        named, comments = 0, comments and tag == "article" and outer.article  # an article in an article may be a comment
     outer_named = 0 if is_main or is_article and outer.named == 1 else outer.named
     return Place(
-        bad=(outer.bad and not is_main) or tag in BAD_TAGS or role in BAD_ROLES,
+        bad=(outer.bad and not is_main) or tag in BAD_TAGS or role in BAD_ROLES or comments,
         named=max(outer_named, named),
         article=outer.article or is_main or is_article,
         good_name=outer.good_name or not names.isdisjoint(GOOD_NAMES),
@@ -150,23 +162,53 @@ def _place(tag: str, attrs: str, outer: Place) -> Place:
     )
 
 
+class _Open:
+    """The open tags. Where each name, the last block and the last container stand is kept with them, so no step searches the stack."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, Place, int, int, int]] = [("", Place(), 0, 0, 0)]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, place: Place, container: int) -> None:
+        at = len(self.tags)
+        block = at if tag not in INLINE else self.last_block
+        self.tags.append((tag, place, container, block, at if tag in CONTAINERS else self.last_container))
+        self.places.setdefault(tag, []).append(at)
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open tag of a name, 0 if there is none."""
+        open_ = self.places.get(tag)
+        return open_[-1] if open_ else 0
+
+    def cut(self, place: int) -> None:
+        for tag, *_ in self.tags[place:]:
+            self.places[tag].pop()
+        del self.tags[place:]
+
+    place = property(lambda self: self.tags[-1][1])
+    container = property(lambda self: self.tags[-1][2])
+    last_block = property(lambda self: self.tags[-1][3])
+    last_container = property(lambda self: self.tags[-1][4])
+    block_tag = property(lambda self: self.tags[self.last_block][0])
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order; never fails on broken markup."""
-    stack: list[tuple[str, Place, int]] = [("", Place(), 0)]
+    stack = _Open()
     blocks: list[Block] = []
     current: Block | None = None
     n_containers, at, size = 0, 0, len(html)
+    last = html.rfind(">") + 1  # behind it no tag is complete
 
     def text(raw: str) -> None:
         nonlocal current
-        tag, place, container = stack[-1]
+        place, container = stack.place, stack.container
         if place.unseen or not raw:
             return
         if current is None:
             if raw.isspace():
                 return
-            block_tag = next((t for t, _, _ in reversed(stack) if t not in INLINE), "")
-            current = Block(container, place, block_tag)
+            current = Block(container, place, stack.block_tag)
             blocks.append(current)
         decoded = unescape(raw) if "&" in raw else raw
         current.parts.append(decoded)
@@ -174,24 +216,24 @@ def blocks_of(html: str) -> list[Block]:
             current.linked += len(decoded)
 
     while at < size:
-        found = MARKUP.search(html, at)
+        found = MARKUP.search(html, at, last) if at < last else None
         if not found:
-            text(html[at:])
+            comment = html.find("<!--", at)
+            text(html[at : comment if comment >= 0 else size])
             break
         text(html[at : found.start()])
         at = found.end()
         if not found["tag"]:
+            if at == last and found[0].startswith("<!--") and not found[0].endswith(("-->", "--!>")):
+                break  # a comment that never closes
             continue
         tag = found["tag"].lower()
         if tag not in INLINE:
             current = None
         if found["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:  # an inline end tag closes nothing outside its block
-                    break
+            place = stack.last(tag)
+            if place and not (tag in INLINE and place < stack.last_block):  # an inline end tag closes nothing outside its block
+                stack.cut(place)
             continue
         attrs = found["attrs"]
         if tag in VOID:
@@ -204,34 +246,20 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag not in INLINE:
             if tag == "p" or tag in CONTAINERS or tag[0] == "h" and tag[1:].isdigit() or tag in ("li", "pre", "blockquote"):
-                _end_paragraph(stack)
-            ends = IMPLIED_ENDS.get(tag)
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in CONTAINERS:
-                        break
+                # An open paragraph ends where a block begins, with the inline tags left open in it.
+                if stack.last("p") > stack.last_container:
+                    stack.cut(stack.last("p"))
+            place = max((stack.last(t) for t in IMPLIED_ENDS.get(tag, ())), default=0)
+            if place and place >= stack.last_container:
+                stack.cut(place)
         if tag in CONTAINERS:
             n_containers += 1
-        outer = stack[-1]
-        stack.append((tag, _place(tag, attrs, outer[1]), n_containers if tag in CONTAINERS else outer[2]))
+        stack.push(tag, _place(tag, attrs, stack.place), n_containers if tag in CONTAINERS else stack.container)
     for block in blocks:
         block.text = " ".join("".join(block.parts).split())
     return [b for b in blocks if b.text]
 
 
-def _end_paragraph(stack: list[tuple[str, Place, int]]) -> None:
-    """An open paragraph ends where a block begins, with the inline tags left open in it."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] == "p":
-            del stack[i:]
-            return
-        if stack[i][0] in CONTAINERS:
-            return
-
-
 def terminal_costs(block: Block, costs: Costs, page_has_article: bool) -> tuple[int, int]:
     """(cost of calling it boilerplate, cost of calling it content)."""
     place, keep, drop = block.place, 1, 0

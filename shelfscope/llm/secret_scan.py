@@ -31,7 +31,7 @@ IDENTIFIERS = (
 SENSITIVE = re.compile(r"pass|secret|token|key|auth|cred|bearer|private|signature|cookie|session|login|account", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # A value of any characters: quoted, or all that follows ":" or "=" up to a space.
-VALUE = re.compile(r"""(?:"([^"\n]{8,})"|'([^'\n]{8,})'|(?<![^\s"'\w])[\w.-]+["']?[\x20\t]*[:=][\x20\t]*([^\s"'][^\s"',;]{7,}))""", re.A)
+VALUE = re.compile(r"""(?:"([^"\n]{8,})"|'([^'\n]{8,})'|(?<![\w.-])[\w.-]++["']?[\x20\t]*+[:=][\x20\t]*([^\s"'][^\s"',;]{7,}))""", re.A)
 BLOCK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]+-----")
 ALPHABETS = ("0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ")
 
