@@ -231,6 +231,12 @@ def dispatch_outcomes(due: DataFrame, outcomes: DataFrame, channels: list[dict],
     disabled or without target, when the error cannot be retried, or when its attempts are used up; an item
     without an outcome counts as an unexpected, retryable error.
     """
+    item = with_channel(due.join(outcomes, "id", "left"), channels)
+    return outcome_rows(item.withColumn("attempt", F.coalesce("attempt_count", F.lit(0)) + 1), F.lit(now))
+
+
+def with_channel(items: DataFrame, channels: list[dict]) -> DataFrame:
+    """``items`` with ``channel``: the settings of their channel, null where it is missing or disabled."""
     usable = {c["id"]: c for c in channels if c.get("enabled", True)}
     settings = F.create_map(
         *[
@@ -245,14 +251,28 @@ def dispatch_outcomes(due: DataFrame, outcomes: DataFrame, channels: list[dict],
             )
         ]
     )
-    item = due.join(outcomes, "id", "left").withColumn("channel", settings[F.col("channel_target")])
-    attempt = F.coalesce("attempt_count", F.lit(0)) + 1
+    return items.withColumn("channel", settings[F.col("channel_target")])
+
+
+def _undeliverable() -> tuple[Column, Column]:
+    """(the channel is missing, it has no target)."""
     missing = F.col("channel").isNull()
-    no_target = ~missing & ~F.col("channel.has_target")
+    return missing, ~missing & ~F.col("channel.has_target")
+
+
+def ends_item() -> Column:
+    """Whether an outcome ends its item whatever the number of attempts."""
+    missing, no_target = _undeliverable()
+    code = F.col("http_status")
+    retryable = F.when(code.isNotNull(), is_retryable(code)).otherwise(True)
+    return missing | no_target | F.coalesce("success", F.lit(False)) | ~retryable
+
+
+def outcome_rows(item: DataFrame, moment: Column) -> DataFrame:
+    """State of items with ``channel`` after the outcome of their ``attempt``, at ``moment``."""
+    missing, no_target = _undeliverable()
     success = F.coalesce("success", F.lit(False))
-    status_code = F.col("http_status")
-    retryable = F.when(status_code.isNotNull(), is_retryable(status_code)).otherwise(True)
-    retry = ~missing & ~no_target & ~success & retryable & (attempt < F.col("max_attempts"))
+    retry = ~ends_item() & (F.col("attempt") < F.col("max_attempts"))
     status = (
         F.when(missing | no_target, "DEAD").when(success, "SENT").when(retry, "RETRYING").otherwise("DEAD")
     )
@@ -261,19 +281,18 @@ def dispatch_outcomes(due: DataFrame, outcomes: DataFrame, channels: list[dict],
         .when(no_target, "CHANNEL_TARGET_MISSING")
         .when(~success, upper_or(F.col("error_code"), "UNEXPECTED_ERROR"))
     )
-    delay = retry_delay_seconds(F.col("channel.backoff"), attempt)
-    moment = F.unix_micros(F.lit(now))
+    delay = retry_delay_seconds(F.col("channel.backoff"), F.col("attempt"))
     return item.select(
         "id",
         "channel_target",
         "event_type",
-        attempt.alias("attempt_count"),
+        F.col("attempt").alias("attempt_count"),
         status.alias("status"),
-        F.when(~missing & ~no_target, status_code).alias("last_http_status"),
+        F.when(~missing & ~no_target, F.col("http_status")).alias("last_http_status"),
         code.alias("last_error_code"),
         F.when(~success, safe_error_text(F.col("error"))).alias("last_error"),
-        F.when(retry, F.timestamp_micros(moment + delay * 1000000)).alias("next_retry_at"),
-        F.when(status == "SENT", F.lit(now)).alias("sent_at"),
+        F.when(retry, F.timestamp_micros(F.unix_micros(moment) + delay * 1000000)).alias("next_retry_at"),
+        F.when(status == "SENT", moment).alias("sent_at"),
     )
 
 

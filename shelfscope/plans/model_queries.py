@@ -29,7 +29,7 @@ def _one_hot(spark, sf):
 
 
 def _selection(spark, sf):
-    chosen = models.select_model(_frame(spark, sf))
+    chosen = _chosen(spark, sf)
     rows = [
         (name, name == chosen.best, *[float(m[k]) for k in ("mae", "rmse", "mape", "smape", "wape", "composite", "residual_std")])
         for name, m in chosen.metrics.items()
@@ -39,8 +39,15 @@ def _selection(spark, sf):
         "composite double, residual_std double")
 
 
+_fitted: dict[tuple[str, str], models.Selection] = {}
+
+
 def _chosen(spark, sf):
-    return models.select_model(_frame(spark, sf))
+    """The selected model of a data set, fitted once an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fitted:
+        _fitted[key] = models.select_model(_frame(spark, sf))
+    return _fitted[key]
 
 
 def _model_forecast(spark, sf):
@@ -63,7 +70,7 @@ def _model_scenario(spark, sf):
 
 def _importance(spark, sf):
     frame = _frame(spark, sf)
-    chosen = models.select_model(frame)
+    chosen = _chosen(spark, sf)
     recent = metrics.with_split(frame, 90).where("is_validation")
     found = models.permutation_importance(recent, chosen.scorer, chosen.columns)
     return presented(found.orderBy(F.desc("mae_increase"), "feature").limit(20))
@@ -72,7 +79,7 @@ def _importance(spark, sf):
 def _evaluation(spark, sf):
     """The trained model in its saved form, evaluated on the last days, overall and by store type."""
     frame = _frame(spark, sf)
-    artifact = models.Artifact.of(models.select_model(frame))
+    artifact = models.Artifact.of(_chosen(spark, sf))
     return presented(models.evaluate_saved(frame, artifact, 90))
 
 

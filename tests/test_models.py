@@ -179,7 +179,10 @@ def test_recursive_forecast(frame, daily):
         assert np.allclose(rows["predicted_sales"], want)
         assert (rows["predicted_lower"] <= rows["predicted_sales"]).all() and (rows["predicted_upper"] <= 680.0).all()
     with pytest.raises(ValueError):
-        forecast.recursive_forecast(inputs, MeanScorer(), 181, forecast.Band(1.0))
+        forecast.recursive_forecast(inputs, MeanScorer(), 181, forecast.Band(1.0), max_horizon=180)
+    with pytest.raises(ValueError):
+        forecast.recursive_forecast(inputs, MeanScorer(), 0, forecast.Band(1.0))
+    assert forecast.recursive_forecast(inputs, MeanScorer(), 181, forecast.Band(1.0)).where("step = 181").count() == got["store_id"].nunique()
 
 
 def test_short_history():

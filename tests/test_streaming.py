@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from shelfscope.operators import alerts
 from shelfscope.sources.policies import Policy
 from shelfscope.streaming.alerts import EVALUATION_SCHEMA, evaluation_stream, state_stream
-from shelfscope.streaming.deliveries import duration_stream, outcome_stream
+from shelfscope.operators import delivery
+from shelfscope.sources import tables
+from shelfscope.streaming.deliveries import attempt_stream, delivery_stream, duration_stream, outcome_stream
 
 RUNS = (
     "run_id long, source_name string, created_at timestamp, final_status string, blocked boolean, used_unified boolean, "
@@ -126,6 +128,84 @@ def test_outcome_fold(spark, tmp_path):
     assert got[0][3] == at(2) and got[1][3] == at(7)
 
 
+CHANNELS = [
+    {"id": "channel_0", "target_url": "x"}, {"id": "channel_1", "target_url": "x", "backoff_seconds": 60},
+    {"id": "channel_2", "target_url": "x", "backoff_seconds": 7200}, {"id": "channel_3"}, {"id": "gone", "target_url": "x", "enabled": False},
+]
+
+
+def test_delivery_stream_starts_from_the_outbox(spark, sf, tmp_path):
+    """One outcome for every waiting item of the driver's log: the batch job's rows, from stored attempt counts."""
+    outbox = tables.outbox(spark, sf)
+    due, now = outbox.where(F.col("status").isin(*delivery.PENDING)), START
+    batch = delivery.dispatch_outcomes(due, tables.delivery_results(spark, sf), CHANNELS, now)
+    events = due.select("id", "channel_target", "event_type", "max_attempts").join(tables.delivery_results(spark, sf), "id", "left")
+    events = events.withColumn("finished_at", F.lit(now))
+    events.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    drain(delivery_stream(stream, outbox, CHANNELS), str(tmp_path / "o"), str(tmp_path / "k"))
+    found = spark.read.parquet(str(tmp_path / "o"))
+    assert {tuple(r) for r in found.select(*batch.columns).collect()} == {tuple(r) for r in batch.collect()} and found.count() == batch.count()
+    assert {r.status for r in batch.select("status").distinct().collect()} == {"SENT", "DEAD", "RETRYING"}
+
+
+def test_delivery_stream_over_several_attempts(spark, tmp_path):
+    schema = (
+        "id string, channel_target string, event_type string, max_attempts int, success boolean, http_status int, error_code string, "
+        "error string, finished_at timestamp")
+    at = lambda m: START + timedelta(minutes=m)
+    row = lambda i, m, ok, code, channel="channel_1", most=3: (i, channel, "E", most, ok, code, None, None, at(m))
+    rows = [
+        row("a", 1, False, 503), row("a", 5, None, None), row("a", 9, True, 204), row("a", 10, True, 204),  # sent; a later one is ignored
+        row("b", 1, False, 400),  # can't be retried
+        row("c", 1, False, 429, most=2), row("c", 2, False, 500, most=2), row("c", 3, True, 200, most=2),  # used up
+        row("d", 1, True, 200, "channel_3"), row("e", 1, True, 200, "nowhere"), row("f", 1, True, 200, "gone"),
+        row("g", 1, False, 503, most=6), row("h", 1, True, 200), row("a2", 11, False, 500),  # g had 4 attempts, h was sent, a2 replays a
+    ]
+    outbox = spark.createDataFrame([("g", "RETRYING", 4), ("h", "SENT", 1), ("b", "PENDING", None)], "id string, status string, attempt_count int")
+    for part in (rows[::3], rows[1::3], rows[2::3]):
+        spark.createDataFrame(sorted(part, key=lambda r: r[-1]), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    whole = spark.createDataFrame(sorted(rows, key=lambda r: r[-1]), schema)
+    whole.coalesce(1).write.parquet(str(tmp_path / "one"))
+    expected = [
+        ("a", 1, "RETRYING", at(2)), ("a", 2, "RETRYING", at(7)), ("a", 3, "SENT", None), ("a2", 1, "RETRYING", at(12)), ("b", 1, "DEAD", None),
+        ("c", 1, "RETRYING", at(2)), ("c", 2, "DEAD", None), ("d", 1, "DEAD", None), ("e", 1, "DEAD", None), ("f", 1, "DEAD", None),
+        ("g", 5, "RETRYING", at(17)),
+    ]
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "one"))
+    drain(delivery_stream(stream, outbox, CHANNELS), str(tmp_path / "o"), str(tmp_path / "k"))
+    found = spark.read.parquet(str(tmp_path / "o"))
+    assert sorted((r.id, r.attempt_count, r.status, r.next_retry_at) for r in found.collect()) == expected
+    codes = {r.id: r.last_error_code for r in found.where("status = 'DEAD'").collect()}
+    assert codes == {"b": "UNEXPECTED_ERROR", "c": "UNEXPECTED_ERROR", "d": "CHANNEL_TARGET_MISSING", "e": "CHANNEL_UNAVAILABLE", "f": "CHANNEL_UNAVAILABLE"}
+    # The same outcomes in three micro-batches, one file each.
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(delivery_stream(stream, outbox, CHANNELS), str(tmp_path / "o3"), str(tmp_path / "k3"))
+    statuses = {}
+    for r in spark.read.parquet(str(tmp_path / "o3")).collect():
+        statuses.setdefault(r.id, []).append((r.attempt_count, r.status))
+    assert {i: sorted(n for n, _ in s) for i, s in statuses.items() if i != "a"} == {"a2": [1], "b": [1], "c": [1, 2], "d": [1], "e": [1], "f": [1], "g": [5]}
+    assert [sum(s in ("SENT", "DEAD") for _, s in own) for i, own in sorted(statuses.items()) if i in "abcdef"] == [1] * 6
+
+
+def test_attempts_that_end_late_or_never(spark, tmp_path):
+    at = lambda m: START + timedelta(minutes=m)
+    starts = [(1, at(0)), (2, at(1)), (3, at(2)), (4, at(3))]
+    ends = [(1, at(1), "SENT"), (2, at(2), "DEAD"), (4, at(95), "SENT")]  # 3 never ends, 4 after its patience
+    s_schema, c_schema = "attempt_id long, started_at timestamp", "attempt_id long, completed_at timestamp, attempt_status string"
+    # Later events move the watermark on: without them an open attempt stays open.
+    for part, (s, c) in enumerate([(starts, ends[:2]), ([(9, at(300))], ends[2:]), ([], [(9, at(301), "SENT")]), ([(10, at(600))], [(10, at(600), "SENT")])]):
+        spark.createDataFrame(s, s_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        spark.createDataFrame(c, c_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+        out = attempt_stream(spark.readStream.schema(s_schema).parquet(str(tmp_path / "s")), spark.readStream.schema(c_schema).parquet(str(tmp_path / "c")))
+        drain(out, str(tmp_path / "o"), str(tmp_path / "k"))
+    got = spark.read.parquet(str(tmp_path / "o")).where("attempt_id < 5")
+    closed = [e for e in ends if e[0] != 4]  # what had ended within its patience
+    batch = delivery.attempt_durations(spark.createDataFrame(starts, s_schema), spark.createDataFrame(closed, c_schema))
+    assert sorted(map(str, got.select(*batch.columns).collect())) == sorted(map(str, batch.collect()))
+    assert {r.attempt_id for r in got.where("attempt_status = 'STARTED'").collect()} == {3, 4}
+
+
 @pytest.mark.parametrize("bad", [{"window_days": 0}, {"operator": "=>"}, {"metric_type": "nope"}, {"severity": "MAX"}])
 def test_policy_checks(bad):
     good = dict(policy_id="p", severity="LOW", policy_source=None, window_days=1, metric_type="fail_rate", operator=">", threshold=0.1)
