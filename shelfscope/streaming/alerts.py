@@ -25,7 +25,7 @@ LATENESS = "1 hour"
 EVALUATION_SCHEMA = (
     "policy_id string, evaluated_at timestamp, current_value double, condition_met boolean, pending_evaluations int"
 )
-STATE_SCHEMA = "status string, consecutive int, first_seen_at timestamp"
+STATE_SCHEMA = "status string, consecutive int, first_seen_at timestamp, evaluated_at timestamp"
 OUTPUT_SCHEMA = (
     "policy_id string, evaluated_at timestamp, current_value double, status string, previous_status string, "
     "consecutive_breaches int, first_seen_at timestamp, event_type string"
@@ -120,29 +120,65 @@ def _next(state: tuple, met: bool, now, needed: int) -> tuple[tuple, str, str |
     return (None, 0, None), "OK", None
 
 
+def _moment(value) -> pd.Timestamp | None:
+    return None if value is None or pd.isna(value) else pd.Timestamp(value)
+
+
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """All new evaluations of one policy in time order; the state is its status, breach count and first sight.
+    """All new evaluations of one policy in time order; the state is its status, breach count, first sight and last evaluation.
 
+    Without state a policy starts from what its rows say is known. Evaluations that are no newer than the last one are done already.
     One micro-batch holds a policy's ticks since the last one, a few rows.
     """
     rows = pd.concat(list(frames)).sort_values("evaluated_at")
-    current = tuple(state.get) if state.exists else (None, 0, None)
+    if state.exists:
+        *current, last = tuple(state.get)
+    else:
+        known = rows.iloc[0]
+        held = None if pd.isna(known["known_status"]) else known["known_status"]
+        current = (held, int(known["known_breaches"]), known["known_first"])
+        last = known["known_last"]
+    current, last = (*current[:2], _moment(current[2])), _moment(last)
+    rows = rows if last is None else rows[rows["evaluated_at"] > last]
     out = []
     for row in rows.itertuples(index=False):
         previous, before = current[0], current[2]
         current, status, event = _next(current, bool(row.condition_met), row.evaluated_at, row.pending_evaluations)
         first = before if status == "RESOLVED" else current[2]
         out.append((key[0], row.evaluated_at, row.current_value, status, previous, current[1], first, event))
-    if current[0] is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((current[0], current[1], pd.Timestamp(current[2]).to_pydatetime()))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]).astype({"first_seen_at": "datetime64[ns]"})
+        last = row.evaluated_at
+    if last is not None:
+        state.update((*current[:2], None if current[2] is None else current[2].to_pydatetime(), last.to_pydatetime()))
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]).astype({"first_seen_at": "datetime64[ns]"})
+
+
+def known_states(states: DataFrame) -> DataFrame:
+    """Where a stream goes on from: the newest row of every policy in the batch job's ``alert_states``; a row a policy."""
+    newest = states.groupBy("policy_id").agg(F.max("evaluated_at").alias("known_last"))
+    held = F.col("status").isin("PENDING", "FIRING")
+    newest = newest.withColumnRenamed("policy_id", "known_policy")
+    same = (F.col("policy_id") == F.col("known_policy")) & (F.col("evaluated_at") == F.col("known_last"))
+    return states.join(newest, same).select(
+        "policy_id",
+        F.when(held, F.col("status")).alias("known_status"),
+        F.when(held, F.col("consecutive_breaches")).otherwise(0).cast("int").alias("known_breaches"),
+        F.when(held, F.col("first_seen_at")).alias("known_first"),
+        "known_last",
+    )
+
 
+def state_stream(evaluations: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """State machine over an evaluation stream: one output row per evaluation, as the batch form gives.
 
-def state_stream(evaluations: DataFrame) -> DataFrame:
-    """State machine over an evaluation stream: one output row per evaluation, as the batch form gives."""
-    return evaluations.groupBy("policy_id").applyInPandasWithState(
+    ``known``, a stored result of :func:`known_states`, is where policies without state start from. Evaluations up to
+    its last one may be in the stream again: they are neither counted nor reported twice.
+    """
+    if known is None:
+        missing = {"known_status": "string", "known_breaches": "int", "known_first": "timestamp", "known_last": "timestamp"}
+        rows = evaluations.withColumns({name: F.lit(None).cast(kind) for name, kind in missing.items()})
+    else:
+        rows = evaluations.join(known, "policy_id", "left")
+    return rows.fillna({"known_breaches": 0}).groupBy("policy_id").applyInPandasWithState(
         _advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )

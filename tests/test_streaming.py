@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.operators import alerts
 from shelfscope.sources.policies import Policy
-from shelfscope.streaming.alerts import EVALUATION_SCHEMA, evaluation_stream, state_stream
+from shelfscope.streaming.alerts import EVALUATION_SCHEMA, evaluation_stream, known_states, state_stream
 from shelfscope.operators import delivery
 from shelfscope.sources import tables
 from shelfscope.streaming.deliveries import attempt_stream, delivery_stream, duration_stream, outcome_stream
@@ -95,6 +95,25 @@ def test_evaluations_and_states_match_batch(spark, tmp_path):
     assert {"PENDING", "FIRING", "RESOLVED", "OK"} <= {s[2] for s in streamed}
 
 
+@pytest.mark.parametrize("cut, again", [(0, 0), (2, 0), (7, 3), (11, 11)])
+def test_states_go_on_from_a_log(spark, tmp_path, cut, again):
+    """Batch before the cut, stream after it, some evaluations in both: the history of one batch job over all."""
+    met = {"p": "0111011100110", "q": "1111111111111", "r": "0000000000001", "s": "1010101010101"}
+    schema = "policy_id string, severity string, policy_source string, policy_rule string, threshold double, " + EVALUATION_SCHEMA.replace("policy_id string, ", "")
+    rows = [(p, "LOW", None, None, 0.5, START + timedelta(hours=i), float(m), m == "1", 2) for p, ms in met.items() for i, m in enumerate(ms)]
+    keys = ["policy_id", "evaluated_at", "status", "previous_status", "consecutive_breaches", "first_seen_at"]
+    whole = alerts.alert_states(spark.createDataFrame(rows, schema))
+    before = alerts.alert_states(spark.createDataFrame([r for r in rows if r[5] < START + timedelta(hours=cut)], schema))
+    known_states(before).write.parquet(str(tmp_path / "known"))
+    for part in range(3):
+        some = [r for r in rows if r[5] >= START + timedelta(hours=cut - again) and (r[5] - START).seconds // 3600 % 13 // 5 == part]
+        spark.createDataFrame(some, schema).select(*[c.split()[0] for c in EVALUATION_SCHEMA.split(", ")]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVALUATION_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(state_stream(stream, spark.read.parquet(str(tmp_path / "known"))), str(tmp_path / "o"), str(tmp_path / "k"))
+    after = spark.read.parquet(str(tmp_path / "o")).select(*keys).collect()
+    assert sorted(map(str, before.select(*keys).collect() + after)) == sorted(map(str, whole.select(*keys).collect()))
+
+
 def test_attempt_durations(spark, tmp_path):
     t = START
     spark.createDataFrame([(i, t + timedelta(minutes=i)) for i in range(5)], "attempt_id long, started_at timestamp").write.parquet(str(tmp_path / "s"))
