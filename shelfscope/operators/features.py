@@ -39,11 +39,11 @@ def with_calendar(df: DataFrame, day: str = "full_date") -> DataFrame:
     return df.withColumns(calendar_columns(F.col(day)))
 
 
-def with_series_features(df: DataFrame, min_std_rows: int = 2) -> DataFrame:
+def with_series_features(df: DataFrame) -> DataFrame:
     """Lags, rolling statistics, ratios and promotion density of ``sales`` (two decimals) per store.
 
-    Rolling means are differences of running sums of whole cents: exact, and constant work per row
-    whatever the window length.
+    Rolling means and sample deviations are differences of running sums of whole cents and of their squares: exact
+    integers, and constant work per row whatever the window length.
     """
     series = W.partitionBy("store_id").orderBy("full_date")
     before = series.rowsBetween(W.unboundedPreceding, -1)
@@ -54,11 +54,9 @@ def with_series_features(df: DataFrame, min_std_rows: int = 2) -> DataFrame:
     first = {
         "days_since_start": F.row_number().over(series) - 1,
         "_run": F.coalesce(F.sum("_cents").over(before), F.lit(0)),
+        "_known": F.count("_cents").over(before),
+        "_squares": F.coalesce(F.sum(F.col("_cents").cast("decimal(19,0)") * F.col("_cents").cast("decimal(19,0)")).over(before), F.lit(0).cast("decimal(38,0)")),
         **{f"lag_{k}": F.lag("sales", k).over(series) for k in (*LAGS, YEAR_LAG)},
-        **{
-            f"rolling_std_{w}": F.coalesce(F.stddev_samp("sales").over(series.rowsBetween(-w, -1)), F.lit(0.0))
-            for w in ROLLING
-        },
     }
     if has_promo:
         first["_promo_run"] = F.coalesce(F.sum(F.col("promo").cast("long")).over(before), F.lit(0))
@@ -69,11 +67,21 @@ def with_series_features(df: DataFrame, min_std_rows: int = 2) -> DataFrame:
         total = F.col(run) - F.coalesce(F.lag(run, width).over(series), F.lit(0))
         return F.when(rows > 0, total / (rows * F.lit(scale)))
 
+    def within(run: str, width: int, like: str) -> Column:
+        return F.col(run) - F.coalesce(F.lag(run, width).over(series), F.lit(0).cast(like))
+
+    def deviation(width: int) -> Column:
+        n, total = within("_known", width, "long"), within("_run", width, "long").cast("decimal(19,0)")
+        # n * sum of squares - square of the sum: exact, so equal sales have no deviation at all.
+        spread = within("_squares", width, "decimal(38,0)").cast("decimal(33,0)") * n.cast("decimal(4,0)") - total * total
+        return F.when(n > 1, F.sqrt(spread.cast("double") / (n * (n - 1)).cast("double")) / 100.0).otherwise(0.0)
+
     second = {f"rolling_mean_{w}": mean("_run", w, 100.0) for w in ROLLING}
+    second |= {f"rolling_std_{w}": deviation(w) for w in ROLLING}
     second |= {
         f"promo_density_{w}": mean("_promo_run", w, 1.0) if has_promo else F.lit(0.0) for w in PROMO_WINDOWS
     }
-    out = base.withColumns(first).withColumns(second).drop("_cents", "_run", "_promo_run")
+    out = base.withColumns(first).withColumns(second).drop("_cents", "_run", "_known", "_squares", "_promo_run")
     out = out.withColumn("lag_364", F.coalesce("lag_364", "rolling_mean_28"))
     distance = F.col("competition_distance").cast("double") if "competition_distance" in df.columns else None
     return out.withColumns(
