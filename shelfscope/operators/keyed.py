@@ -24,7 +24,16 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return newest.groupBy(*keys).agg(F.max_by(whole, rank).alias("newest")).select("newest.*")
 
 
-def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Rows of both frames, the incoming one where a key is in both, the highest version where it repeats."""
-    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return latest_per_key(both, keys, ["_new", version]).drop("_new")
+def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str], version: str, existing_unique: bool = False) -> DataFrame:
+    """Rows of both frames, the incoming one where a key is in both, the highest version where it repeats.
+
+    Existing rows are only looked up among the incoming keys, null keys included, and pass through as they are; only incoming
+    rows are ranked. ``existing_unique`` says that no key repeats in ``existing``, as after an earlier upsert; otherwise its
+    rows are ranked too. A column that one of the frames lacks is null in its rows.
+    """
+    kept = existing if existing_unique else latest_per_key(existing, keys, [version])
+    arriving = incoming.select(*[F.col(k).alias(f"_key_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.equal_null(F.col(k), F.col(f"_key_{k}"))
+    return kept.join(arriving, same, "left_anti").unionByName(latest_per_key(incoming, keys, [version]), allowMissingColumns=True)
