@@ -185,12 +185,17 @@ def channel_summary(attempts: DataFrame, outbox: DataFrame) -> DataFrame:
     )
 
 
-def attempt_metrics(attempts: DataFrame) -> DataFrame:
-    return attempts.groupBy(
+def attempt_labels() -> list[Column]:
+    """Channel, event and status of an attempt as metrics name them."""
+    return [
         F.coalesce("channel_target", F.lit("unknown")).alias("channel_target"),
         F.upper(F.coalesce("event_type", F.lit("UNKNOWN"))).alias("event_type"),
         F.upper(F.coalesce("attempt_status", F.lit("UNKNOWN"))).alias("attempt_status"),
-    ).agg(F.count("*").alias("attempts"))
+    ]
+
+
+def attempt_metrics(attempts: DataFrame) -> DataFrame:
+    return attempts.groupBy(*attempt_labels()).agg(F.count("*").alias("attempts"))
 
 
 def latency_histogram(

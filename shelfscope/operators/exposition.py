@@ -19,9 +19,77 @@ def _labels(*names: str) -> Column:
     return F.create_map(*[c for n in names for c in (F.lit(n), F.col(n).cast("string"))])
 
 
-def _row(metric: str, value: Column | str, *labels: str) -> list[Column]:
+def _row(metric: str, value: Column | str, *labels: str, when: Column | None = None) -> Column:
+    """One metric row, null where ``when`` doesn't hold."""
     value = F.col(value) if isinstance(value, str) else value
-    return [F.lit(metric).alias("metric"), _labels(*labels).alias("labels"), value.cast("double").alias("value")]
+    row = F.struct(F.lit(metric).alias("metric"), _labels(*labels).alias("labels"), value.cast("double").alias("value"))
+    return row if when is None else F.when(when, row)
+
+
+def _rows(aggregated: DataFrame, *rows: Column) -> DataFrame:
+    return aggregated.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+
+
+def _run_rows(runs: DataFrame) -> DataFrame:
+    """Run counts by source, status and mode, and by source alone, as two grouping sets of one aggregate."""
+    named = runs.select(*runlog.run_labels(), "blocked", "created_at")
+    by = ["source_name", "final_status", "mode"]
+    sets = named.groupingSets([by, ["source_name"]], *by).agg(
+        F.grouping_id().alias("set"), F.count("*").alias("runs"), F.count_if("blocked").alias("blocked"),
+        F.unix_seconds(F.max("created_at")).alias("latest"),
+    )
+    each, source = F.col("set") == 0, F.col("set") > 0
+    return _rows(
+        sets,
+        _row("preflight_runs_total", "runs", *by, when=each),
+        _row("preflight_blocked_total", "blocked", "source_name", when=source & (F.col("blocked") > 0)),
+        _row("preflight_latest_run_timestamp_seconds", "latest", "source_name", when=source),
+    )
+
+
+def _attempt_rows(attempts: DataFrame) -> DataFrame:
+    """Attempts by channel, event and status, and their latencies over all, as two grouping sets of one aggregate.
+
+    Grouping sets give no row for no input, so a row that counts nowhere goes along: without attempts all totals are zero.
+    """
+    by = ["channel_target", "event_type", "attempt_status"]
+    valid = F.col("duration_ms") >= 0
+    rows = attempts.select(*delivery.attempt_labels(), "duration_ms", F.lit(True).alias("real"))
+    nowhere = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[:-1]]
+    rows = rows.unionByName(attempts.sparkSession.range(1).select(*nowhere, F.lit(False).alias("real")))
+    sets = rows.groupingSets([by, []], *by).agg(
+        F.grouping_id().alias("set"), F.count_if("real").alias("attempts"), F.count_if(valid).alias("n"),
+        F.coalesce(F.sum(F.when(valid, F.col("duration_ms"))), F.lit(0)).alias("total"),
+        F.count_if(F.col("attempt_status").isin(*delivery.ERROR_STATUSES)).alias("errors"),
+        *[F.count_if(valid & (F.col("duration_ms") <= b)).alias(f"b{b}") for b in delivery.LATENCY_BUCKETS_MS],
+    )
+    each, whole = (F.col("set") == 0) & (F.col("attempts") > 0), F.col("set") > 0
+    latency = "preflight_notifications_delivery_latency_ms"
+    bounds = [(str(b), f"b{b}") for b in delivery.LATENCY_BUCKETS_MS] + [("+Inf", "n")]
+    steps = [
+        F.when(whole, F.struct(F.lit(f"{latency}_bucket").alias("metric"), F.create_map(F.lit("le"), F.lit(le)).alias("labels"),
+                               F.col(n).cast("double").alias("value")))
+        for le, n in bounds
+    ]
+    return _rows(
+        sets,
+        _row("preflight_notifications_attempts_total", "attempts", *by, when=each),
+        *steps,
+        _row(f"{latency}_sum", "total", when=whole),
+        _row(f"{latency}_count", "n", when=whole),
+        _row("preflight_notifications_dispatch_errors_total", "errors", when=whole),
+    )
+
+
+def _outbox_rows(outbox: DataFrame, now: datetime) -> DataFrame:
+    age = F.unix_seconds(F.lit(now)) - F.unix_seconds("oldest_pending_at")
+    return _rows(
+        delivery.outbox_counts(outbox),
+        _row("preflight_notifications_outbox_pending", "pending_count"),
+        _row("preflight_notifications_outbox_dead", "dead_count"),
+        _row("preflight_notifications_replays_total", "replayed_count"),
+        _row("preflight_notifications_outbox_oldest_pending_age_seconds", F.greatest(F.coalesce(age, F.lit(0)), F.lit(0))),
+    )
 
 
 def metric_table(
@@ -33,58 +101,20 @@ def metric_table(
     outbox: DataFrame,
     now: datetime,
 ) -> DataFrame:
-    """Every metric family from aggregates of a few rows each."""
-    base = runlog.run_metrics(runs)
-    by_source = base.groupBy("source_name").agg(
-        F.sum("blocked_runs").alias("blocked"), F.unix_seconds(F.max("latest_at")).alias("latest")
-    )
+    """Every metric family; each table is read once and its aggregate gives all the families that come from it."""
     active = alert_states.where(F.col("status").isin("PENDING", "FIRING")).groupBy("severity", "status").agg(
         F.count("*").alias("n")
     )
     events = audit.groupBy(F.upper("event_type").alias("event_type")).agg(F.count("*").alias("n"))
     muted = active_silences(silences, now).agg(F.count("*").alias("n"))
-    tried = delivery.attempt_metrics(attempts)
-    histogram = delivery.latency_histogram(attempts)
-    le = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("bigint").cast("string"))
-    queue = delivery.outbox_counts(outbox)
-    age = F.unix_seconds(F.lit(now)) - F.unix_seconds("oldest_pending_at")
-    errors = tried.where(F.col("attempt_status").isin(*delivery.ERROR_STATUSES)).agg(
-        F.coalesce(F.sum("attempts"), F.lit(0)).alias("n")
+    return (
+        _run_rows(runs)
+        .unionByName(_rows(active, _row("preflight_alerts_active", "n", "severity", "status")))
+        .unionByName(_rows(events, _row("preflight_alert_transitions_total", "n", "event_type")))
+        .unionByName(_rows(muted, _row("preflight_alert_silences_active", "n")))
+        .unionByName(_attempt_rows(attempts))
+        .unionByName(_outbox_rows(outbox, now))
     )
-    families = [
-        base.select(*_row("preflight_runs_total", "runs", "source_name", "final_status", "mode")),
-        by_source.where("blocked > 0").select(*_row("preflight_blocked_total", "blocked", "source_name")),
-        by_source.select(*_row("preflight_latest_run_timestamp_seconds", "latest", "source_name")),
-        active.select(*_row("preflight_alerts_active", "n", "severity", "status")),
-        events.select(*_row("preflight_alert_transitions_total", "n", "event_type")),
-        muted.select(*_row("preflight_alert_silences_active", "n")),
-        tried.select(
-            *_row("preflight_notifications_attempts_total", "attempts", "channel_target", "event_type", "attempt_status")
-        ),
-        histogram.withColumn("le", le).select(
-            *_row("preflight_notifications_delivery_latency_ms_bucket", "cumulative", "le")
-        ),
-        histogram.where("le = double('Infinity')").select(
-            *_row("preflight_notifications_delivery_latency_ms_sum", "latency_sum_ms")
-        ),
-        histogram.where("le = double('Infinity')").select(
-            *_row("preflight_notifications_delivery_latency_ms_count", "latency_count")
-        ),
-        queue.select(*_row("preflight_notifications_outbox_pending", "pending_count")),
-        queue.select(*_row("preflight_notifications_outbox_dead", "dead_count")),
-        queue.select(*_row("preflight_notifications_replays_total", "replayed_count")),
-        queue.select(
-            *_row(
-                "preflight_notifications_outbox_oldest_pending_age_seconds",
-                F.greatest(F.coalesce(age, F.lit(0)), F.lit(0)),
-            )
-        ),
-        errors.select(*_row("preflight_notifications_dispatch_errors_total", "n")),
-    ]
-    out = families[0]
-    for family in families[1:]:
-        out = out.unionByName(family)
-    return out
 
 
 def exposition_lines(metrics: DataFrame) -> DataFrame:

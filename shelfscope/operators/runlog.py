@@ -210,13 +210,18 @@ def ordered_sources(sources: DataFrame, include_inactive: bool = True) -> DataFr
     return listed_sources(sources, include_inactive).orderBy(F.desc("is_default"), "id")
 
 
-def run_metrics(runs: DataFrame) -> DataFrame:
-    """Run counts per (source, status, mode) with blocked runs and newest time: the base of three metrics."""
-    return runs.groupBy(
+def run_labels() -> list[Column]:
+    """Source, status and mode of a run as metrics name them."""
+    return [
         lower_or(F.col("source_name"), "unknown").alias("source_name"),
         upper_or(F.col("final_status"), "UNKNOWN").alias("final_status"),
         lower_or(F.col("mode"), "unknown").alias("mode"),
-    ).agg(
+    ]
+
+
+def run_metrics(runs: DataFrame) -> DataFrame:
+    """Run counts per (source, status, mode) with blocked runs and newest time: the base of three metrics."""
+    return runs.groupBy(*run_labels()).agg(
         F.count("*").alias("runs"),
         F.count_if("blocked").alias("blocked_runs"),
         F.max("created_at").alias("latest_at"),

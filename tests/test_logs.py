@@ -10,6 +10,7 @@ from shelfscope.operators import alerts, counters, delivery, exposition, runlog
 from shelfscope.operators.keyed import latest_per_key
 from shelfscope.operators.percentile import exact_percentile
 from shelfscope.plans.quality_queries import CONFIG
+from shelfscope.sources import tables
 from shelfscope.sources.policies import Policy, load_channels, load_policies, policy_frame
 
 UTC = timezone.utc
@@ -261,3 +262,23 @@ def test_exact_percentile_on_skewed_data(spark):
         assert exact_percentile(df, "v", p).first()[0] == pytest.approx(df.agg(F.percentile("v", p)).first()[0])
     assert exact_percentile(df.where("false"), "v", 0.5).first()[0] is None
     assert exact_percentile(df.where("false"), "v", 0.5, ["g"]).count() == 0
+
+
+def metric_inputs(spark, sf):
+    items = tables.alert_items(spark, sf)
+    audit = items.select("alert_id", F.col("status").alias("event_type"))
+    return [tables.run_log(spark, sf), items, audit, tables.silences(spark, sf), tables.delivery_attempts(spark, sf), tables.outbox(spark, sf)]
+
+
+def test_metric_table_reads_each_input_once(spark, sf):
+    plan = exposition.metric_table(*metric_inputs(spark, sf), datetime(2000, 6, 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == len(metric_inputs(spark, sf))
+
+
+def test_metric_table_of_empty_inputs(spark, sf):
+    empty = [t.where("false") for t in metric_inputs(spark, sf)]
+    rows = {(r.metric.removeprefix("preflight_"), *r.labels.values()): r.value for r in exposition.metric_table(*empty, datetime(2000, 6, 1)).collect()}
+    latency = "notifications_delivery_latency_ms"
+    wanted = {(f"{latency}_bucket", str(b)) for b in delivery.LATENCY_BUCKETS_MS} | {(f"{latency}_bucket", "+Inf"), (f"{latency}_sum",), (f"{latency}_count",)}
+    wanted |= {(f"notifications_{n}",) for n in ("outbox_pending", "outbox_dead", "replays_total", "outbox_oldest_pending_age_seconds", "dispatch_errors_total")}
+    assert set(rows) == wanted | {("alert_silences_active",)} and set(rows.values()) == {0.0}
