@@ -141,14 +141,31 @@ def rule_events(runs: DataFrame) -> DataFrame:
 
 
 def rule_counts(events: DataFrame, keys: tuple[str, ...] = ("rule_id", "rule_type", "severity")) -> DataFrame:
-    """Warn and fail counts per rule with the last sighting and the newest non-empty message."""
+    """Warn and fail counts per rule with the last sighting and the newest non-empty message.
+
+    Events are hashed by rule with numbers of fixed width only. Messages are looked at only in the events of a rule's newest time:
+    of these the greatest run id has the message, and of one run's the last in text order.
+    """
     bad = events.where(F.col("status").isin("WARN", "FAIL"))
-    newest = F.struct("created_at", "run_id")
-    return bad.groupBy(*keys).agg(
+    said = F.col("message") != ""
+    counts = bad.groupBy(*keys).agg(
         F.count_if(F.col("status") == "WARN").alias("warn_count"),
         F.count_if(F.col("status") == "FAIL").alias("fail_count"),
         F.max("created_at").alias("last_seen_at"),
-        F.max_by(F.nullif("message", F.lit("")), F.when(F.col("message") != "", newest)).alias("sample_message"),
+        F.max(F.when(said, F.col("created_at"))).alias("said_at"),
+    )
+    rule = counts.select(*[F.col(k).alias(f"r_{k}") for k in keys], "said_at")
+    same = F.col("created_at") == F.col("said_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    newest = bad.where(said).join(rule, same).groupBy(*[F.col(f"r_{k}") for k in keys]).agg(
+        F.max(F.struct("run_id", "message")).alias("newest")
+    )
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    return counts.join(newest, match, "left").select(
+        *keys, "warn_count", "fail_count", "last_seen_at", F.col("newest.message").alias("sample_message")
     )
 
 

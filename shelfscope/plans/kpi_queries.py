@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from shelfscope.functions.calendar import date_key, freshness_class
-from shelfscope.operators import grid, kpi, warehouse
+from shelfscope.operators import grid, kpi, profiles, warehouse
 from shelfscope.plans.oracle_tables import oracle
 from shelfscope.plans.registry import Query, presented
 from shelfscope.sources import tables
@@ -75,11 +75,25 @@ def _freshness(spark, sf):
     )
 
 
+EDA_COLUMNS = ("store_id", "full_date", "sales", "customers", "promo", "state_holiday", "school_holiday", "open")
+
+
 def _eda_columns(spark, sf):
     fact = _fact(spark, sf)
     return presented(kpi.column_profile(fact.drop("date_id")))
 
 
+def _eda_sketches(spark, sf):
+    """Daily sketches of the fact, merged over all days; within known bounds of ``eda_columns`` and exact quantiles."""
+    rule = profiles.Sketches(distinct=EDA_COLUMNS, quantiles=("sales", "customers"), frequent=("promo", "state_holiday"))
+    fact = _fact(spark, sf)
+    fact = fact.select("full_date", *[F.col(c).cast("double").alias(c) if c in rule.quantiles else F.col(c) for c in EDA_COLUMNS if c != "full_date"])
+    merged = profiles.merged_profile(profiles.daily_profiles(fact, "full_date", rule), rule, (0.5, 0.95, 0.997))
+    top = F.transform("frequent", lambda f: F.concat(f["value"], F.lit("="), f["num_rows"].cast("string")))
+    shown = F.array_join(F.transform("quantiles", lambda q: F.round(q, 2).cast("string")), ",")
+    return presented(merged.withColumns({"frequent": F.array_join(F.array_sort(top), ","), "quantiles": shown}))
+
+
 def _eda_values(spark, sf):
     fact = _fact(spark, sf)
     frames = [
@@ -295,6 +309,7 @@ QUERIES = [
         f"SELECT '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, "
         f"COUNT(DISTINCT {c}) AS distinct_count FROM fact"
         for c in ("store_id", "full_date", "sales", "customers", "promo", "state_holiday", "school_holiday", "open")))),
+    Query("eda_sketches", "A-37 A-32", _eda_sketches),
     Query("eda_values", "A-37", _eda_values, oracle("fact", " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS num_rows FROM fact GROUP BY 1, 2"
         for c in ("promo", "open", "state_holiday", "school_holiday")))),

@@ -17,6 +17,7 @@ from shelfscope.sources import tables
 from shelfscope.sources.policies import load_channels
 
 NOW = datetime(2024, 1, 31, 12, 0, tzinfo=timezone.utc)
+PAGE_FROM, LAST_ID = datetime(2024, 1, 15, 12, 0, tzinfo=timezone.utc), 500  # last row of the page before
 SILENCE_NOW = datetime(2000, 6, 1, tzinfo=timezone.utc)
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 WINDOW = resolve_window("2024-01-05", "2024-01-20T06:30:00Z")
@@ -83,6 +84,12 @@ def _deliveries_page(spark, sf):
     return presented(grid.page(rows, [F.desc("created_at"), F.desc("id")], page=3, page_size=200))
 
 
+def _deliveries_after(spark, sf):
+    rows = tables.outbox(spark, sf).where("status = 'DEAD'").select("id", "channel_target", "created_at")
+    order = [("created_at", True), ("id", True)]
+    return presented(grid.page_after(rows, order, 200, {"created_at": PAGE_FROM, "id": LAST_ID}))
+
+
 def _due(spark, sf):
     return presented(delivery.due_items(tables.outbox(spark, sf), NOW).select("id", "status", "next_retry_at"))
 
@@ -292,6 +299,12 @@ QUERIES = [
     Query("deliveries_page", "T-4", _deliveries_page, oracle("outbox", f"""
         SELECT id, channel_target, {TS.format('created_at')} AS created_at, COUNT(*) OVER () AS total FROM outbox
         WHERE status = 'DEAD' ORDER BY outbox.created_at DESC, id DESC LIMIT 200 OFFSET 400""")),
+    Query("deliveries_after", "T-4", _deliveries_after, oracle("outbox", f"""
+        SELECT o.id, channel_target, {TS.format('o.created_at')} AS created_at,
+               (SELECT COUNT(*) FROM outbox WHERE status = 'DEAD') AS total FROM outbox o
+        WHERE status = 'DEAD' AND (o.created_at < TIMESTAMP '{PAGE_FROM:%Y-%m-%d %H:%M:%S}' OR
+              o.created_at = TIMESTAMP '{PAGE_FROM:%Y-%m-%d %H:%M:%S}' AND o.id < {LAST_ID!r})
+        ORDER BY o.created_at DESC, o.id DESC LIMIT 200""")),
     Query("due_items", "P-16", _due, oracle("outbox", f"""
         SELECT id, status, {TS.format('next_retry_at')} AS next_retry_at FROM outbox
         WHERE status IN ('PENDING', 'RETRYING') AND outbox.next_retry_at <= TIMESTAMP '2024-01-31 12:00:00'""")),
