@@ -11,7 +11,7 @@ from shelfscope.functions.coerce import to_bool, truthy
 from shelfscope.operators import profile_policy, quality, validation, warehouse
 from shelfscope.plans.oracle_tables import oracle
 from shelfscope.plans.registry import Query, presented
-from shelfscope.sources import tables
+from shelfscope.sources import files, tables
 from shelfscope.sources.contracts import Rule, load_contract
 
 CONFIG = Path(__file__).resolve().parents[2] / "config"
@@ -179,6 +179,20 @@ def _stat_sql(bad: str, nulls: str | None) -> str:
     return " UNION ALL ".join(parts)
 
 
+CLEAN_SALES_SQL = oracle("unified", f"""
+    SELECT store_id, {DAY.format('full_date')} AS full_date, COALESCE(sales, 0) AS sales,
+           COALESCE(CAST(customers AS BIGINT), 0) AS customers, COALESCE(promo, 0) AS promo,
+           ' ' || state_holiday || ' ' AS state_holiday, COALESCE(school_holiday, 0) AS school_holiday,
+           COALESCE(open, 1) AS open
+    FROM unified WHERE full_date IS NOT NULL AND raw_sales IS NOT NULL AND raw_store <> 'A'""")
+
+
+def _clean_sales_text(spark, sf):
+    """The sales input as CSV text, parsed again and cleaned: the same rows as from the typed table."""
+    raw = tables.raw_sales(spark, sf).where("Store <> 'A'")
+    return presented(warehouse.clean_sales(files.parsed_lines(files.csv_lines(raw), raw.columns)))
+
+
 QUERIES = [
     Query("type_mismatch_counts", "Q-5 F-1 F-2 F-3", _mismatches, oracle("unified", _stat_sql("mismatches", None))),
     Query("unify_canonical", "P-1 P-2 P-3 P-4 F-1 F-2 F-4 Q-8",
@@ -198,12 +212,8 @@ QUERIES = [
         SELECT open AS word, COUNT(*) AS num_rows, open IN ('1', 'yes') AS flag, open IN ('1', 'yes') AS is_truthy
         FROM raw_sales GROUP BY open""")),
     Query("clean_sales", "P-6 S-1 X-14", lambda s, d: presented(warehouse.clean_sales(tables.raw_sales(s, d).where(
-        "Store <> 'A'"))), oracle("unified", f"""
-        SELECT store_id, {DAY.format('full_date')} AS full_date, COALESCE(sales, 0) AS sales,
-               COALESCE(CAST(customers AS BIGINT), 0) AS customers, COALESCE(promo, 0) AS promo,
-               ' ' || state_holiday || ' ' AS state_holiday, COALESCE(school_holiday, 0) AS school_holiday,
-               COALESCE(open, 1) AS open
-        FROM unified WHERE full_date IS NOT NULL AND raw_sales IS NOT NULL AND raw_store <> 'A'""")),
+        "Store <> 'A'"))), CLEAN_SALES_SQL),
+    Query("clean_sales_text", "S-1 S-2 P-6", _clean_sales_text, CLEAN_SALES_SQL),
     Query("clean_store", "P-5 A-38", lambda s, d: presented(warehouse.clean_store(tables.raw_store(s, d))),
           oracle("raw_store", """
         WITH m AS (SELECT quantile_cont(CAST(competition_distance AS DOUBLE), 0.5) AS med FROM raw_store)

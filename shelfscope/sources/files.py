@@ -69,12 +69,33 @@ def read_raw_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multil
         .option("escape", '"')
         .csv(path)
     )
-    df = df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
+    return missing_as_null(df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns}))
+
+
+def missing_as_null(df: DataFrame) -> DataFrame:
+    """Text columns with the words for a missing value as null."""
     return df.select(
         *[F.when(~F.coalesce(F.col(f"`{c}`"), F.lit("")).isin(*MISSING_WORDS), F.col(f"`{c}`")).alias(c) for c in df.columns]
     )
 
 
+def csv_lines(df: DataFrame) -> DataFrame:
+    """(line): every row as a CSV line, quoted where needed, spaces kept."""
+    text = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    keep = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    return df.select(F.to_csv(text, keep).alias("line"))
+
+
+def parsed_lines(lines: DataFrame, names: list[str], column: str = "line") -> DataFrame:
+    """CSV lines that come as rows (of a queue, or a text column) as :func:`read_raw_csv` gives them: text, missing words as null.
+
+    A line with fewer fields has nulls for the others; a null line gives a row of nulls.
+    """
+    schema = ", ".join(f"`{name}` string" for name in names)
+    # As a generator the parsed row is computed once, not once in every expression on its fields.
+    return missing_as_null(lines.select(F.inline(F.array(F.from_csv(column, schema, {"escape": '"'})))))
+
+
 def load_raw_data(
     spark: SparkSession, sales_path: str, store_path: str, multiline: bool = False
 ) -> tuple[DataFrame, DataFrame]:

@@ -313,3 +313,12 @@ def test_whole_numbers_are_exact(spark):
 
     rows = spark.createDataFrame([("9007199254740993",), ("5.0",), ("-7",), ("1e3",), ("x",), ("99999999999999999999",)], "t string")
     assert [r[0] for r in rows.select(to_int(F.col("t"))).collect()][:5] == [9007199254740993, 5, -7, 1000, None]
+
+
+def test_csv_lines_come_back(spark):
+    rows = [("a,b", ' "x" '), ("", None), ("NA", "line\nbreak"), (None, "é")]
+    df = spark.createDataFrame(rows, "a string, `b c` string")
+    back = files.parsed_lines(files.csv_lines(df), df.columns)
+    assert back.columns == ["a", "b c"] and [tuple(r) for r in back.collect()] == [("a,b", ' "x" '), (None, None), (None, "line\nbreak"), (None, "é")]
+    short = spark.createDataFrame([("1",), (None,)], "line string")
+    assert [tuple(r) for r in files.parsed_lines(short, ["a", "b"]).collect()] == [("1", None), (None, None)]
