@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfscope.functions import text
 from shelfscope.functions.text import keyword_intent, utterance_variants
 from shelfscope.operators import features, forecast, intents, metrics, models, warehouse
 from shelfscope.plans.oracle_tables import oracle
@@ -126,8 +127,8 @@ def _variants(spark, sf):
 def _intent_documents(spark, sf):
     rows = tables.messages(spark, sf)
     label = F.concat(F.lit("turn_"), F.col("turn").cast("string"))
-    text = F.to_json(F.create_map(label, F.array(F.concat(F.lit(" "), F.col("message")), F.lit("  "), F.lower("message"))))
-    return presented(parse_intents(rows.select(text.alias("value"))))
+    value = F.to_json(F.create_map(label, F.array(F.concat(F.lit(" "), F.col("message")), F.lit("  "), F.lower("message"))))
+    return presented(parse_intents(rows.select(value.alias("value"))))
 
 
 def _grams(spark, sf):
@@ -136,18 +137,11 @@ def _grams(spark, sf):
     return presented(rows.select("conv_id", "turn", F.size(grams).alias("num_grams"), F.md5(F.array_join(grams, "|")).alias("grams_md5")))
 
 
-# The keyword lists and patterns once more, for the SQL counterparts.
+# The lists and patterns of functions/text.py in the SQL counterparts.
 TERMS = {
-    "greeting": ["hello", "hi", "hey", "مرحبا", "اهلا", "ازيك"],
-    "compare": ["compare", "vs", "versus", "مقارنة"],
-    "system_summary": ["coverage", "how many stores", "rows", "system summary", "data range", "fresh", "latest date",
-                       "عدد المتاجر", "حجم الداتا", "اخر داتا", "آخر تاريخ"],
-    "data_status": ["data status", "pipeline", "etl", "data age", "last update"],
-    "model_summary": ["model", "accuracy", "mae", "rmse", "mape", "feature importance", "drift", "retrain", "المودل", "دقة"],
-    "promo_impact": ["promo", "برومو", "promot"],
-    "forecast": ["forecast", "predict", "توقع", "فوركاست", "تنبؤ"],
-    "kpi_summary": ["kpi", "summary", "sales", "customers", "revenue", "ملخص", "مبيعات", "عملاء"],
-}
+    "greeting": text.GREETING_TERMS, "compare": text.COMPARE_TERMS, "system_summary": text.SYSTEM_TERMS, "data_status": text.STATUS_TERMS,
+    "model_summary": text.MODEL_TERMS, "promo_impact": text.PROMO_TERMS, "forecast": text.FORECAST_TERMS, "kpi_summary": text.KPI_TERMS,
+}
 
 
 def _any(key: str) -> str:
@@ -158,11 +152,11 @@ INTENT = f"""CASE WHEN {_any('greeting')} THEN 'greeting'
     WHEN {_any('compare')} AND contains(t, 'store') THEN 'compare_stores'
     WHEN {_any('system_summary')} THEN 'system_summary' WHEN {_any('data_status')} THEN 'data_status'
     WHEN {_any('model_summary')} THEN 'model_summary'
-    WHEN (contains(t, 'top') AND contains(t, 'store')) OR contains(t, 'اعلى المتاجر') THEN 'top_stores'
+    WHEN (contains(t, 'top') AND contains(t, 'store')) OR contains(t, '{text.TOP_STORES_TERM}') THEN 'top_stores'
     WHEN {_any('promo_impact')} THEN 'promo_impact' WHEN {_any('forecast')} THEN 'forecast'
     WHEN {_any('kpi_summary')} THEN 'kpi_summary' ELSE 'help' END"""
-STORE_RE = r"(?i)(?:store(?:_id)?\s*#?\s*|store_id\s*=?\s*|(?:ل)?(?:ل)?(?:ال)?متجر\s*#?\s*|(?:ال)?متجر\s*#?\s*)(\d+)"
-HORIZON_RE = r"(?i)\b(\d{1,3})\s*(?:day|days|d|يوم|ايام)\b"
+STORE_RE = text.STORE_PATTERN
+HORIZON_RE = text.HORIZON_PATTERN.replace("(?iU)", "(?i)")  # DuckDB's patterns have no such flag
 SLOTS = f"""slot AS (
     SELECT conv_id, turn, message, lower(message) AS t, TRY_CAST(regexp_extract(message, '{STORE_RE}', 1) AS BIGINT) AS store_slot,
            COALESCE(least(greatest(TRY_CAST(regexp_extract(message, '{HORIZON_RE}', 1) AS BIGINT), 1), 180), 30) AS horizon_days,
@@ -172,8 +166,7 @@ SLOTS = f"""slot AS (
                            WHEN len(ds) = 1 THEN TRY_CAST(ds[1] AS DATE) ELSE latest END AS d2 FROM slot),
     slots AS (SELECT *, CASE WHEN len(ds) >= 2 THEN least(TRY_CAST(ds[1] AS DATE), TRY_CAST(ds[2] AS DATE))
                              ELSE d2 - 29 END AS d1, CASE WHEN turn % 3 = 1 THEN 'promo_impact' ELSE {INTENT} END AS intent FROM rng)"""
-SWAPS = [("forecast", "predict"), ("forecast", "projection"), ("predict", "forecast"), ("sales", "revenue"),
-         ("store", "branch"), ("promo", "promotion"), ("model", "algorithm"), ("summary", "overview"), ("data", "dataset")]
+SWAPS = [(word, other) for word, others in text.SYNONYMS.items() for other in others]
 VARIANTS = ", ".join(
     ["message", "n", "l"] + [f"CASE WHEN contains(l, '{a}') THEN replace(l, '{a}', '{b}') END" for a, b in SWAPS]
     + [f"CASE WHEN contains(l, 'store ') AND NOT regexp_matches(l, 'store\\s+\\d+') THEN l || '{x}' END" for x in (" store 1", " store 25")]
