@@ -117,9 +117,10 @@ def _hashed(texts: DataFrame, open_: DataFrame, length: int, size: int) -> DataF
 def _judged(cells: DataFrame) -> DataFrame:
     """``cells`` plus ``again``: whether the hull also stands at another place, and ``first``: of equal hulls one has it."""
     place = F.xxhash64("text_key", "lo", "hi")
-    counted = cells.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"))
-    judged = cells.join(counted, ["h1", "h2"])
-    return written(judged.select(*cells.columns[2:], (F.col("p") != F.col("q")).alias("again"), (place == F.col("p")).alias("first")), "judged")
+    # Written before the join, so that adaptive execution can split the rows of a hull that a third of all cells share.
+    repeated = cells.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q")).filter("p <> q").drop("q")
+    judged = cells.join(written(repeated, "repeated-hulls"), ["h1", "h2"], "left")
+    return written(judged.select(*cells.columns[2:], F.col("p").isNotNull().alias("again"), F.coalesce(place == F.col("p"), F.lit(True)).alias("first")), "judged")
 
 
 def _still_open(judged: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def _still_open(judged: DataFrame) -> DataFrame:
     and with each such core one range of every repeated hull, as what they may be compared with."""
     place = F.xxhash64("text_key", "lo", "hi")
     cores = judged.groupBy("core").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.col("again").cast("int")).alias("all_again"))
-    live = cores.filter("p <> q AND all_again = 0").select("core")
+    live = written(cores.filter("p <> q AND all_again = 0").select("core"), "live-cores")  # before the join, as above
     return judged.filter("first OR NOT again").join(live, "core", "left_semi").select("text_key", "at", "lo", "hi").distinct()
 
 
@@ -152,6 +153,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     parse = _parsed(docs, length)
     spot = F.xxhash64("text_key", "place")
     shared = parse.groupBy("core").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).filter("p <> q").select("core")
+    shared = written(shared, "shared-cores")  # the rows of a core that many texts share can then be split
     at = F.shiftright("place", 16).cast("int")
     open_ = parse.join(shared, "core", "left_semi").select("text_key", "place").distinct()
     open_ = open_.select(
