@@ -44,3 +44,30 @@ def test_forests_keep_node_ids_and_start_first(spark, monkeypatch):
     except Stop:
         pass
     assert asked[:3] == [200, 100, 60]
+
+
+def test_table_queries_size_their_tasks(spark, tmp_path):
+    import __spark_entry__ as entry
+    from shelfscope.session import SIZED_CONF, size_partitions
+
+    size_partitions(spark, False)
+    before = {key: spark.conf.get(key, None) for key in SIZED_CONF}
+    # Rows of many stores and days, one a group, so that one task of a fixed few would hold them all.
+    spark.range(300_000).selectExpr(
+        "id AS l_suppkey", "timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id % 100 AS int)) AS l_shipdate", "cast(id AS double) AS l_extendedprice",
+        "0.05D AS l_discount", "3.0D AS l_quantity", "'A' AS l_returnflag", "'F' AS l_linestatus",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = entry.queries()["kpi_by_day_store"](spark, str(tmp_path))
+        assert out.count() == 300_000 and out.rdd.getNumPartitions() > 1
+        assert size_partitions(spark, False) is None
+        assert {key: spark.conf.get(key, None) for key in SIZED_CONF} == before
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+        size_partitions(spark, True)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "64m"
+    finally:
+        size_partitions(spark, False)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
