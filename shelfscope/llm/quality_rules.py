@@ -49,8 +49,15 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
+def without(text: Column, characters: str) -> Column:
+    """``text`` without some characters; a replacement each searches bytes, ``translate`` makes a string of every character."""
+    for character in characters:
+        text = F.replace(text, F.lit(character), F.lit(""))
+    return text
+
+
 def count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.length(text) - F.length(without(text, characters))
 
 
 def _repeat_words(windows: Column) -> Column:
@@ -73,7 +80,7 @@ def line_passes(line: Column, rules: LineRules) -> Column:
     bare = F.btrim(line, F.lit(SPACE))
     low = F.lower(line)
     n_words = count_of(bare, " \t") + 1
-    word_chars = F.length(F.translate(bare, SPACE, ""))
+    word_chars = F.length(without(bare, SPACE))
     separators = count_of(bare, SEPARATORS)
     ends_well = F.instr(F.lit(rules.endings), F.right(bare, F.lit(1))) > 0
     is_menu = (separators >= 2) & (separators >= rules.separator_share * n_words)
@@ -101,19 +108,19 @@ def quality_columns(docs: DataFrame, rules: LineRules | None = None, text_col: s
     window = lambda a, i: F.concat_ws(" ", a, F.get("w", i + 1), F.get("w", i + 2))
     windows = F.when(n >= 3, F.transform(F.slice("w", F.lit(1), n - 2), window)).otherwise(F.array().cast("array<string>"))
     counted = split.select(
-        "row", "t", "lines", n.cast("long").alias("n_words"), windows.alias("windows"),
+        "row", "t", "lines", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), windows.alias("windows"),
         F.filter("lines", lambda line: line_passes(line, rules)).alias("good"),
     )
     measured = counted.select(
         "row",
         "n_words",
-        F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
+        "word_chars",
         count_of(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("windows")).cast("long").alias("n_repeat_words"),
         F.array_join("good", "\n").alias("clean_text"),
     )
-    left = F.length(F.translate("clean_text", SPACE, ""))
+    left = F.length(without(F.col("clean_text"), SPACE))
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") > rules.max_repeat_share * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & (F.col("word_chars") - left <= rules.max_loss * F.col("word_chars"))
