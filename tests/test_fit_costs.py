@@ -71,3 +71,16 @@ def test_table_queries_size_their_tasks(spark, tmp_path):
         size_partitions(spark, False)
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def test_character_counts_search_bytes(spark):
+    from shelfscope.llm import quality_rules
+
+    texts = ["a|b » c\t•d·e\n x #*$%&|<>", "", "\t \x0b\x0c\r\n", "ééé 🙂🙂 » ›\r\nshort line.", None, "##"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = quality_rules.quality_columns(docs)
+    for r in found.collect():
+        text = r["row"]["text"] or ""
+        assert r["word_chars"] == sum(c not in quality_rules.SPACE for c in text)
+        assert r["n_symbols"] == sum(c in quality_rules.SYMBOLS for c in text)
+    assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()
