@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm import word_hash
-from shelfscope.llm.scratch import written
+from shelfscope.llm.scratch import settled, written
 
 # Words are runs of 0-9, a-z and characters beyond ASCII.
 WORD = word_hash.letters("".join(chr(c) for c in range(128) if not (chr(c).isdigit() or "a" <= chr(c) <= "z")))
@@ -197,6 +197,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit. Rows are matched by id and by a hash of the text."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    found = contamination(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), items, width, "__key", "__text")
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
+    texts = docs.select(key.alias("__key"), F.col(text_col).alias("__text"))
+
+    def hits() -> DataFrame:
+        return contamination(texts, items, width, "__key", "__text").filter("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
+
+    hit = settled(hits, "hits")
     return docs.join(hit, key == hit["__key"], "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from shelfscope.llm import word_hash
 from shelfscope.llm.components import components
-from shelfscope.llm.scratch import written
+from shelfscope.llm.scratch import settled, written
 
 NOT_SPACE = word_hash.letters(" \t\n\u000b\f\r")
 LANES = 4  # 16-bit places in a long
@@ -175,7 +175,7 @@ def _confirmed(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], rul
                 alike.append(100 * common >= rule.percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,11 +202,15 @@ def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str =
         own.agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(c).alias(c) for c in rule.columns]),
         "classes",
     )
-    keys = written(_keyed(classes, rule), "keys")
     # What is joined with a possibly hot key is written first: both sides are then plain exchanges, whose hot
     # partitions adaptive execution splits.
-    shared = keys.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi")
-    members = written(keys.join(written(shared, "shared-keys"), "key"), "members")
+
+    def with_ends() -> DataFrame:
+        keys = written(_keyed(classes, rule), "keys")
+        shared = keys.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi")
+        return keys.join(written(shared, "shared-keys"), "key")
+
+    members = settled(with_ends, "members")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         places = wanted.join(classes.select("class_id", "least_id"), "class_id")
@@ -221,16 +225,19 @@ def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str =
     near = stars.join(classes.alias("x"), F.col("a") == F.col("x.class_id")).join(
         classes.alias("y"), (F.col("b") == F.col("y.class_id")) & _may_be_near(rule)
     )
-    links = _confirmed(near.select("a", "b"), texts_of, rule)
-    roots = written(components(links), "roots")
-
-    placed = members.select("key", "class_id").join(roots, members["class_id"] == roots["node"], "left")
-    placed = written(placed.select("key", "class_id", F.coalesce("root", "class_id").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    open_ = written(placed.join(written(mixed, "mixed-keys"), "key"), "open-members")
-    own_keys = open_.groupBy("class_id", "root").agg(F.collect_set("key").alias("keys"))  # a class has a fixed number
-    described = own_keys.join(classes.select("class_id", "n_shingles", *rule.columns), "class_id")
-    open_ = written(described.withColumn("key", F.explode("keys")), "open-classes")
+    links = settled(lambda: _confirmed(near.select("a", "b"), texts_of, rule), "links")
+    roots = settled(lambda: components(links), "roots")
+
+    def open_classes() -> DataFrame:
+        placed = members.select("key", "class_id").join(roots, members["class_id"] == roots["node"], "left")
+        placed = written(placed.select("key", "class_id", F.coalesce("root", "class_id").alias("root")), "placed")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        open_ = written(placed.join(written(mixed, "mixed-keys"), "key"), "open-members")
+        own_keys = open_.groupBy("class_id", "root").agg(F.collect_set("key").alias("keys"))  # a class has a fixed number
+        described = own_keys.join(classes.select("class_id", "n_shingles", *rule.columns), "class_id")
+        return described.withColumn("key", F.explode("keys"))
+
+    open_ = settled(open_classes, "open-classes")
     apart = open_.alias("x").join(
         open_.alias("y"),
         (F.col("x.key") == F.col("y.key"))
@@ -239,8 +246,8 @@ def near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: str =
         & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")),  # once a pair, not once a key
     )
     apart = apart.select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b"))
-    more = _confirmed(apart, texts_of, rule)
-    roots = components(links.union(more))
+    more = settled(lambda: _confirmed(apart, texts_of, rule), "links")
+    roots = settled(lambda: components(links.union(more)), "roots")
 
     grouped = classes.join(roots, classes["class_id"] == roots["node"], "left").select(
         "class_id", "least_id", F.coalesce("root", "class_id").alias("root")
@@ -259,8 +266,12 @@ def drop_near_duplicates(docs: DataFrame, rule: MinHash | None = None, id_col: s
 
     Of rows that share that id one stays. Documents without words stay, each for itself.
     """
-    judged = near_duplicates(docs, rule, id_col, text_col).filter("kept AND root IS NOT NULL")
-    worded = judged.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("text_key").alias("__key"), F.count(F.lit(1)).alias("__n"))
+
+    def firsts() -> DataFrame:
+        judged = near_duplicates(docs, rule, id_col, text_col).filter("kept AND root IS NOT NULL")
+        return judged.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("text_key").alias("__key"), F.count(F.lit(1)).alias("__n"))
+
+    worded = settled(firsts, "firsts")
     key = F.xxhash64(F.col(text_col))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key"))
     found = docs.join(worded, same).select(*[docs[c] for c in docs.columns], "__key", "__n")
